@@ -1,0 +1,111 @@
+from decimal import ROUND_HALF_UP, Decimal
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tillscope.functions.calendar import MONTHS, month_name, month_number
+from tillscope.functions.money import (
+    change_direction,
+    change_label,
+    change_pct,
+    currency_text,
+    exact_mean,
+    percent_text,
+    share_pct,
+)
+from tillscope.functions.stock import (
+    catalog_label,
+    severity,
+    stock_status,
+    suggested_reorder,
+    urgency_badge,
+)
+from tests.stars import rows
+
+
+def _mean(spark, pairs):
+    df = spark.createDataFrame(pairs, "total decimal(32,2), n bigint")
+    return [r[0] for r in df.select(exact_mean(F.col("total"), F.col("n"))).collect()]
+
+
+def test_mean_rounds_half_away_from_zero_and_only_once(spark):
+    pairs = [
+        (Decimal("2.01"), 2),  # 1.005
+        (Decimal("-2.01"), 2),
+        (Decimal("1004999.99"), 10**6),  # just below the tie
+        (Decimal("1005000.00"), 10**6),
+        (Decimal("0.00"), 0),
+        (None, 0),
+    ]
+    expected = ["1.01", "-1.01", "1.00", "1.01", "0.00", "0.00"]
+    assert [str(v) for v in _mean(spark, pairs)] == expected
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(st.integers(-(10**24), 10**24), st.integers(10**7, 10**12)), min_size=1, max_size=50
+    )
+)
+def test_mean_equals_exact_arithmetic(spark, pairs):
+    pairs = [(Decimal(cents).scaleb(-2), n) for cents, n in pairs]
+    expected = [
+        (total / n).quantize(Decimal("0.01"), ROUND_HALF_UP) if abs(total) > 0 else Decimal("0.00")
+        for total, n in pairs
+    ]
+    assert _mean(spark, pairs) == expected
+
+
+def test_changes(spark):
+    df = spark.createDataFrame(
+        [(110.0, 100.0), (90.0, 100.0), (5.0, 5.0), (5.0, 0.0), (0.0, 0.0), (1.0025, 1.0)],
+        "cur double, prior double",
+    )
+    pct = change_pct(F.col("cur"), F.col("prior"))
+    got = rows(df.select(change_direction(pct), change_label(pct)))
+    assert got[:5] == [
+        ("up", "↑ 10.0% vs previous period"),
+        ("down", "↓ 10.0% vs previous period"),
+        ("neutral", "0.0% vs previous period"),
+        ("neutral", "No previous-period data available"),
+        ("neutral", "No previous-period data available"),
+    ]
+
+
+def test_labels_round_like_binary_half_even(spark):
+    df = spark.createDataFrame([(0.25, 2.5), (0.35, 1234567.5)], "pct double, money double")
+    got = rows(df.select(percent_text(F.col("pct")), currency_text(F.col("money"))))
+    assert got == [("0.2%", "₹2"), ("0.3%", "₹1,234,568")]
+    assert got == [
+        (f"{pct:.1f}%", f"₹{money:,.0f}") for pct, money in [(0.25, 2.5), (0.35, 1234567.5)]
+    ]
+
+
+def test_share_is_zero_without_a_positive_total(spark):
+    df = spark.createDataFrame([(1.0, 4.0), (1.0, 0.0), (1.0, -2.0), (1.0, None)], "v double, t double")
+    assert [r[0] for r in rows(df.select(share_pct(F.col("v"), F.col("t"))))] == [25.0, 0.0, 0.0, 0.0]
+
+
+def test_month_names(spark):
+    df = spark.range(1, 13).select(month_name(F.col("id").cast("int")))
+    assert tuple(r[0] for r in df.collect()) == MONTHS
+    assert [month_number(m) for m in MONTHS] == list(range(1, 13))
+    assert month_number("march") is None
+
+
+def test_stock_labels(spark):
+    df = spark.createDataFrame([(s,) for s in (-3, 0, 1, 10, 11)], "s int")
+    s = F.col("s")
+    got = rows(
+        df.select(
+            stock_status(s), severity(s), suggested_reorder(s, 50), catalog_label(s), urgency_badge(s)
+        )
+    )
+    assert got == [
+        ("Low Stock", 2, 53, "🟡 Low (-3 left)", "🟡 Urgent (Low Stock)"),
+        ("Out of Stock", 1, 50, "🔴 Out of Stock", "🔴 Critical (Out of Stock)"),
+        ("Low Stock", 2, 49, "🟡 Low (1 left)", "🟡 Urgent (Low Stock)"),
+        ("Low Stock", 2, 40, "🟡 Low (10 left)", "🟡 Urgent (Low Stock)"),
+        ("In Stock", 3, 39, "🟢 In Stock (11 units)", "🟡 Urgent (Low Stock)"),
+    ]

@@ -1,0 +1,113 @@
+from datetime import date
+
+import pytest
+
+from tests.stars import one, product, rows, sale, star
+from tillscope.filters import SalesFilter
+from tillscope.operators import trends
+
+
+@pytest.fixture(scope="module")
+def two_years(spark):
+    return star(
+        spark,
+        [
+            sale(1, "2023-01-31", amount="1.00"),
+            sale(2, "2024-01-01", amount="2.00"),
+            sale(3, "2024-04-02", amount="3.00"),
+            sale(4, "2024-04-02", amount="4.00", product_id=2),
+            sale(5, "2024-05-01", amount="9.00", product_id=77),
+        ],
+        [product(1), product(2, category="Bags")],
+    )
+
+
+def test_years_quarters_and_months(two_years):
+    assert rows(trends.revenue_by_year(two_years)) == [(2023, 1.0), (2024, 18.0)]
+    assert rows(trends.revenue_by_quarter(two_years)) == [(1, "Q1", 3.0), (2, "Q2", 16.0)]
+    assert rows(trends.revenue_by_month(two_years)) == [
+        ("January", 1, 3.0),
+        ("April", 4, 7.0),
+        ("May", 5, 9.0),
+    ]
+    assert rows(trends.revenue_by_year_quarter(two_years)) == [
+        (2023, "Q1", 1.0),
+        (2024, "Q1", 2.0),
+        (2024, "Q2", 16.0),
+    ]
+
+
+def test_trend_is_daily_up_to_70_days_and_monthly_beyond(two_years):
+    daily = SalesFilter(date(2024, 2, 1), date(2024, 4, 10))
+    assert daily.days == 70
+    assert rows(trends.revenue_trend(two_years, daily)) == [(date(2024, 4, 2), "02 Apr", 7.0, 2)]
+    monthly = SalesFilter(date(2024, 1, 31), date(2024, 4, 10))
+    assert monthly.days == 71
+    assert rows(trends.revenue_trend(two_years, monthly)) == [(date(2024, 4, 1), "Apr 2024", 7.0, 2)]
+
+
+def test_trend_leaves_out_empty_periods_unknown_products_and_other_categories(two_years):
+    year = SalesFilter(date(2024, 1, 1), date(2024, 12, 31))
+    assert rows(trends.revenue_trend(two_years, year)) == [
+        (date(2024, 1, 1), "Jan 2024", 2.0, 1),
+        (date(2024, 4, 1), "Apr 2024", 7.0, 2),
+    ]
+    bags = SalesFilter(year.start, year.end, "Bags")
+    assert rows(trends.revenue_trend(two_years, bags)) == [(date(2024, 4, 1), "Apr 2024", 4.0, 1)]
+
+
+def test_summary_and_share(two_years):
+    assert one(trends.period_summary(two_years, "month")) == {
+        "total_revenue": 19.0,
+        "period_count": 3,
+        "avg_revenue": 19.0 / 3,
+        "peak_period": "May",
+        "peak_revenue": 9.0,
+    }
+    assert rows(trends.period_share(two_years, "quarter")) == [
+        (1, "Q1", 3.0, 3.0 / 19.0 * 100),
+        (2, "Q2", 16.0, 16.0 / 19.0 * 100),
+    ]
+    assert one(trends.period_summary(two_years, "year"))["peak_period"] == "2024"
+    with pytest.raises(ValueError, match="unknown period level"):
+        trends.period_summary(two_years, "week")
+
+
+def test_first_period_wins_a_tied_peak(spark):
+    s = star(spark, [sale(1, "2024-05-01"), sale(2, "2024-02-01"), sale(3, "2024-09-01")])
+    assert one(trends.period_summary(s))["peak_period"] == "February"
+
+
+def test_empty_star(spark):
+    empty = star(spark)
+    assert one(trends.period_summary(empty)) == {
+        "total_revenue": 0.0,
+        "period_count": 0,
+        "avg_revenue": 0.0,
+        "peak_period": None,
+        "peak_revenue": None,
+    }
+    assert rows(trends.period_share(empty)) == []
+    assert one(trends.date_coverage(empty)) == {
+        "min_date": None,
+        "max_date": None,
+        "distinct_months": 0,
+    }
+
+
+def test_zero_total_has_zero_shares(spark):
+    s = star(spark, [sale(1, "2024-05-01", amount="0.00")])
+    assert rows(trends.period_share(s)) == [(5, "May", 0.0, 0.0)]
+
+
+def test_coverage(two_years):
+    assert one(trends.date_coverage(two_years)) == {
+        "min_date": date(2023, 1, 31),
+        "max_date": date(2024, 5, 1),
+        "distinct_months": 3,
+    }
+    assert rows(trends.monthly_activity(two_years)) == [
+        (1, "January", 2, 3.0),
+        (4, "April", 2, 7.0),
+        (5, "May", 1, 9.0),
+    ]

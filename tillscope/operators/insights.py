@@ -19,7 +19,6 @@ from tillscope.model import MONEY_SUM, Star
 from tillscope.operators.facts import REVENUE, UNITS, by_product, grand_total
 from tillscope.operators.inventory import inventory_bands, low_stock_count
 from tillscope.operators.kpis import average_sale, period_comparison
-from tillscope.operators.products import best_category, best_product
 
 LEADER, TOP_SKU, REPLENISH, OPTIMAL, MOMENTUM, VOLUME = (
     "category_leader",
@@ -149,12 +148,22 @@ def insight_texts(insights: DataFrame) -> DataFrame:
 
 
 def olap_insights(star: Star) -> DataFrame:
-    """One row: best seller, best category ("N/A" if none), average sale and low-stock count."""
-    seller = best_product(star).select("product_name").scalar()
-    leader = best_category(star).select("category").scalar()
+    """One row: best seller, best category ("N/A" if none), average sale and low-stock count.
+
+    Both winners carry units and revenue, so that they share one aggregation by (name, category).
+    """
+    per_product = by_product(star, [REVENUE, UNITS], product_keys=["product_name", "category"])
+
+    def winner(key: str, measure: str) -> Column:
+        totals = per_product.groupBy(key).agg(
+            F.sum("revenue").alias("revenue"), F.sum("units_sold").alias("units_sold")
+        )
+        first = totals.orderBy(F.desc(measure), F.asc_nulls_last(key)).limit(1)
+        return first.select(F.struct(key, "revenue", "units_sold")).scalar().getField(key)
+
     return low_stock_count(star).select(
-        F.coalesce(seller, F.lit("N/A")).alias("best_product"),
-        F.coalesce(leader, F.lit("N/A")).alias("best_category"),
+        F.coalesce(winner("product_name", "units_sold"), F.lit("N/A")).alias("best_product"),
+        F.coalesce(winner("category", "revenue"), F.lit("N/A")).alias("best_category"),
         average_sale(star).scalar().alias("avg_order"),
         "low_stock",
     )

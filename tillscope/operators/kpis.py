@@ -117,21 +117,28 @@ def year_ranges(star: Star) -> DataFrame:
     """One row per year with sales: the year clamped to the first and last sale date, newest first.
 
     Only the first year's start and the last year's end can be clamped, and there the bound is that
-    year's own extreme date, so the per-year extremes and the extreme years are all that is needed.
+    year's own extreme date. Outer query and subquery so need the same per-year extremes, and Spark
+    computes them once.
     """
-    per_year = star.sales.groupBy(F.year("sale_date").alias("yr")).agg(
+    dated = star.sales.where(F.col("sale_date").isNotNull())
+    per_year = dated.groupBy(F.year("sale_date").alias("yr")).agg(
         F.min("sale_date").alias("first"), F.max("sale_date").alias("last")
     )
     span = per_year.agg(
         F.struct(F.min("first").alias("first"), F.max("last").alias("last")).alias("span")
     ).scalar()
+    is_first = F.col("first") == F.col("span.first")
+    is_last = F.col("last") == F.col("span.last")
     return (
         per_year.withColumn("span", span)
-        .where(F.col("yr").isNotNull())
         .select(
             "yr",
-            F.greatest(F.make_date("yr", F.lit(1), F.lit(1)), F.col("span.first")).alias("start_date"),
-            F.least(F.make_date("yr", F.lit(12), F.lit(31)), F.col("span.last")).alias("end_date"),
+            F.when(is_first, F.col("first"))
+            .otherwise(F.make_date("yr", F.lit(1), F.lit(1)))
+            .alias("start_date"),
+            F.when(is_last, F.col("last"))
+            .otherwise(F.make_date("yr", F.lit(12), F.lit(31)))
+            .alias("end_date"),
         )
         .orderBy(F.desc("yr"))
     )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.filters import ALL, SalesFilter
 from tillscope.functions.money import share_pct
 from tillscope.model import Star
-from tillscope.operators.facts import LINES, REVENUE, UNITS, by_product, grand_total
+from tillscope.operators.facts import LINES, REVENUE, UNITS, Measure, by_product, grand_total
 
 
 def category_revenue(star: Star, category: str = ALL) -> DataFrame:
@@ -16,10 +18,16 @@ def category_revenue(star: Star, category: str = ALL) -> DataFrame:
     return totals.orderBy(F.desc("revenue"), F.asc_nulls_last("category"))
 
 
-def category_breakdown(star: Star, flt: SalesFilter) -> DataFrame:
-    """Revenue, units, order lines and revenue share per category in a period."""
-    totals = by_product(star, [REVENUE, UNITS, LINES], flt, product_keys=["category"])
-    total = grand_total(totals, "revenue", "units_sold", "order_count").getField("revenue")
+def category_breakdown(
+    star: Star, flt: SalesFilter, measures: Sequence[Measure] = (REVENUE, UNITS, LINES)
+) -> DataFrame:
+    """Measures (revenue among them) and revenue share per category in a period.
+
+    Ask for no more measures than are used: dropping one later would leave the outer query and the
+    total's subquery with different aggregations, which Spark could not share.
+    """
+    totals = by_product(star, measures, flt, product_keys=["category"])
+    total = grand_total(totals, *[m.name for m in measures]).getField("revenue")
     return totals.withColumn("share_pct", share_pct(F.col("revenue"), total)).orderBy(
         F.desc("revenue"), F.asc_nulls_last("category")
     )

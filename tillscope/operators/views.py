@@ -10,6 +10,7 @@ from tillscope.functions.money import count_text, currency_text, percent_text
 from tillscope.functions.stock import TARGET_DEFAULT
 from tillscope.model import Star
 from tillscope.operators.customers import top_customers_in_period
+from tillscope.operators.facts import REVENUE
 from tillscope.operators.inventory import (
     EVERYTHING,
     inventory_catalog,
@@ -39,7 +40,7 @@ def mean_rating_text(rate: Column) -> Column:
 
 def category_view(star: Star, flt: SalesFilter) -> DataFrame:
     return _view(
-        category_breakdown(star, flt),
+        category_breakdown(star, flt, [REVENUE]),
         {
             "Category": "category",
             "Revenue": currency_text(F.col("revenue")),

@@ -49,17 +49,24 @@ def _csv(reader: DataFrameReader, path: str) -> DataFrame:
 FILE_READERS = {"parquet": _parquet, "csv": _csv}
 
 
-def load_star(spark: SparkSession, path: str, fmt: str = "parquet") -> Star:
-    """Read <path>/sales, <path>/products and <path>/customers with the contract's types."""
+def load_star(
+    spark: SparkSession, path: str, fmt: str = "parquet", as_stored: bool = False
+) -> Star:
+    """Read <path>/sales, <path>/products and <path>/customers with the contract's types.
+
+    With `as_stored`, Parquet files keep their own columns and types, to be checked by
+    `schema_report`.
+    """
     if fmt not in FILE_READERS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {sorted(FILE_READERS)}")
+    if as_stored and fmt != "parquet":
+        raise ValueError("only Parquet files know their own types")
     read = FILE_READERS[fmt]
-    return Star(
-        **{
-            name: read(spark.read.schema(contract), f"{path}/{name}")
-            for name, contract in CONTRACTS.items()
-        }
-    )
+    tables = {}
+    for name, contract in CONTRACTS.items():
+        reader = spark.read if as_stored else spark.read.schema(contract)
+        tables[name] = read(reader, f"{path}/{name}")
+    return Star(**tables)
 
 
 def jdbc_options(
