@@ -1,0 +1,163 @@
+from datetime import date
+
+import pytest
+
+from tests.stars import one, product, rows, sale, star
+from tillscope.filters import SalesFilter
+from tillscope.functions.calendar import MONTHS
+from tillscope.operators import insights, olap, products, trends, views
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    return star(
+        spark,
+        [
+            sale(1, "2023-01-31", product_id=1, quantity=1, amount="10.00"),
+            sale(2, "2024-01-01", product_id=1, quantity=2, amount="20.00"),
+            sale(3, "2024-03-15", product_id=2, customer_id=2, quantity=9, amount="5.00"),
+            sale(4, "2024-03-16", product_id=3, customer_id=2, quantity=1, amount="40.00"),
+            sale(5, "2024-03-17", product_id=99, quantity=90, amount="900.00"),
+        ],
+        [
+            product(1, "Pen", "Desk", stock=0),
+            product(2, "Ink", "Desk", stock=4),
+            product(3, "Bag", "Bags", stock=-1),
+        ],
+    )
+
+
+YEAR = SalesFilter(date(2024, 1, 1), date(2024, 12, 31))
+
+
+def test_slices(shop):
+    assert sorted(rows(olap.slice_all(shop))) == [("Bags", 40.0), ("Desk", 35.0)]
+    assert sorted(rows(olap.slice_category(shop, "Desk"))) == [("Ink", 5.0), ("Pen", 30.0)]
+    assert olap.slice_category(shop, "Desk").columns == ["product_name", "revenue"]
+
+
+def test_dice(shop):
+    assert rows(olap.dice(shop)) == [
+        ("Desk", "January", 30.0),
+        ("Bags", "March", 40.0),
+        ("Desk", "March", 5.0),
+    ]
+    assert rows(olap.dice(shop, "Desk", "March")) == [("Desk", "March", 5.0)]
+    assert rows(olap.dice(shop, month="January")) == [("Desk", "January", 30.0)]
+    assert rows(olap.dice(shop, month="Sometime")) == []
+
+
+def test_pivot_has_twelve_months_and_agrees_with_category_revenue(shop, spark):
+    wide = olap.pivot(shop)
+    assert wide.columns == ["category", *MONTHS]
+    table = {r["category"]: r for r in wide.collect()}
+    assert {c: float(sum(r[m] for m in MONTHS)) for c, r in table.items()} == dict(
+        rows(products.category_revenue(shop))
+    )
+    assert table["Bags"]["January"] == 0
+    empty = olap.pivot(star(spark))
+    assert empty.columns == ["category", *MONTHS]
+    assert rows(empty) == []
+
+
+def test_all_time_groupings_have_the_same_total(shop):
+    totals = {
+        float(sum(r["revenue"] for r in df.collect()))
+        for df in (
+            olap.rollup_years(shop),
+            olap.drilldown_months(shop),
+            trends.revenue_by_quarter(shop),
+            trends.revenue_by_year_quarter(shop),
+        )
+    }
+    assert totals == {975.0}
+
+
+def test_shares_add_up(shop):
+    shares = [r["share_pct"] for r in products.category_breakdown(shop, YEAR).collect()]
+    assert abs(sum(shares) - 100) < 1e-9
+
+
+def test_executive_insights_with_a_prior_period(shop):
+    got = insights.executive_insights(shop, YEAR)
+    cells = {
+        r["kind"]: {k: v for k, v in r.asDict().items() if v is not None and k not in ("seq", "kind")}
+        for r in got.collect()
+    }
+    assert list(cells) == ["category_leader", "top_sku", "replenishment", "momentum"]
+    assert cells["category_leader"]["subject"] == "Bags"
+    assert cells["category_leader"]["pct"] == 40.0 / 65.0 * 100
+    assert cells["top_sku"]["subject"] == "Bag"
+    assert cells["replenishment"] == {"units": 2, "out_of_stock": 1, "low_stock": 1}
+    assert cells["momentum"]["pct"] == 550.0
+    assert cells["momentum"]["aov"] == 65.0 / 3
+    texts = [r["text"] for r in insights.insight_texts(got).collect()]
+    assert texts == [
+        "Bags leads with ₹40, 61.5% of revenue",
+        "Bag sells most: ₹40 from 1 units",
+        "2 products to restock: 1 sold out, 1 low",
+        "Revenue ↑ 550.0% vs previous period, average order ₹22",
+    ]
+
+
+def test_executive_insights_without_prior_sales_or_stock_trouble(spark):
+    s = star(spark, [sale(1), sale(2, customer_id=2)], [product(1)])
+    january = SalesFilter(date(2024, 1, 1), date(2024, 1, 31))
+    got = insights.executive_insights(s, january)
+    assert [r["kind"] for r in got.collect()][2:] == ["stock_optimal", "volume"]
+    assert [r["text"] for r in insights.insight_texts(got).collect()][2:] == [
+        "No product needs restocking",
+        "2 orders by 2 customers, average order ₹2",
+    ]
+
+
+def test_executive_insights_without_any_sales(spark):
+    got = insights.executive_insights(star(spark), YEAR)
+    assert [r["kind"] for r in got.collect()] == ["stock_optimal", "volume"]
+
+
+def test_prior_sales_without_revenue_is_momentum_without_a_number(spark):
+    s = star(spark, [sale(1, "2023-06-01", amount="0.00"), sale(2, "2024-06-01")], [product(1)])
+    got = insights.executive_insights(s, YEAR)
+    assert [r["kind"] for r in got.collect()][-1] == "momentum"
+    assert insights.insight_texts(got).collect()[-1]["text"] == (
+        "Revenue No previous-period data available, average order ₹2"
+    )
+
+
+def test_olap_insights(shop, spark):
+    assert one(insights.olap_insights(shop)) == {
+        "best_product": "Ink",
+        "best_category": "Bags",
+        "avg_order": 195.0,
+        "low_stock": 3,
+    }
+    assert one(insights.olap_insights(star(spark))) == {
+        "best_product": "N/A",
+        "best_category": "N/A",
+        "avg_order": 0.0,
+        "low_stock": 0,
+    }
+
+
+def test_views_have_report_titles(shop):
+    assert rows(views.category_view(shop, YEAR)) == [("Bags", "₹40", "61.5%"), ("Desk", "₹25", "38.5%")]
+    assert views.period_view(shop, "quarter").columns == [
+        "Quarter",
+        "Revenue (₹)",
+        "% of Total Revenue",
+    ]
+    assert rows(views.urgent_stock_view(shop)) == [
+        ("Bag", "Bags", -1, "Low (-1 units)"),
+        ("Pen", "Desk", 0, "Out of Stock"),
+        ("Ink", "Desk", 4, "Low (4 units)"),
+    ]
+
+
+def test_rating_texts(spark):
+    df = spark.sql("SELECT CAST(r AS DECIMAL(3,2)) AS r FROM VALUES (4.35), (4.25), (0.0) AS t(r)")
+    assert rows(df.select(views.rating_text(df.r), views.mean_rating_text(df.r))) == [
+        ("⭐ 4.3", "4.35 / 5.0"),
+        ("⭐ 4.2", "4.25 / 5.0"),
+        ("⭐ 0.0", "N/A"),
+    ]

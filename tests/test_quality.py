@@ -1,0 +1,110 @@
+import pytest
+
+from tests.stars import customer, product, rows, sale, star
+from tillscope.model import Star
+from tillscope.operators import quality
+from tillscope.operators.quality import QualityError
+
+
+@pytest.fixture(scope="module")
+def bad(spark):
+    return star(
+        spark,
+        [
+            sale(1, quantity=2, amount="4.00"),
+            sale(1, quantity=0, amount="0.00"),
+            sale(2, quantity=-1, amount="-1.00"),
+            sale(3, customer_id=8, amount="2.00"),
+            sale(4, customer_id=None, product_id=None),
+            sale(5, product_id=7),
+            sale(None, day=None, quantity=None, amount=None),
+            sale(6, quantity=3, amount="6.01"),
+        ],
+        [
+            product(1),
+            product(2, stock=-4),
+            product(2, name=None, category=None, price=None, stock=None),
+        ],
+        [
+            customer(1),
+            customer(2, rate="0.50"),
+            customer(3, rate="5.50"),
+            customer(3, name=None, rate=None),
+        ],
+    )
+
+
+EXPECTED = {
+    ("products", "duplicate_key"): 1,
+    ("products", "negative_stock"): 1,
+    ("products", "null_category"): 1,
+    ("products", "null_price"): 1,
+    ("products", "null_product_name"): 1,
+    ("products", "null_stock"): 1,
+    ("customers", "duplicate_key"): 1,
+    ("customers", "rate_out_of_range"): 2,
+    ("customers", "null_customer_name"): 1,
+    ("customers", "null_rate"): 1,
+    ("sales", "duplicate_key"): 1,
+    ("sales", "negative_amount"): 1,
+    ("sales", "quantity_not_positive"): 2,
+    ("sales", "unknown_customer"): 2,
+    ("sales", "unknown_product"): 2,
+    ("sales", "amount_not_quantity_x_price"): 2,
+    ("sales", "null_sale_id"): 1,
+    ("sales", "null_sale_date"): 1,
+    ("sales", "null_customer_id"): 1,
+    ("sales", "null_product_id"): 1,
+    ("sales", "null_quantity"): 1,
+    ("sales", "null_total_amount"): 1,
+}
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_every_check_counts_its_rows(spark, bad, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = {
+            (r["table_name"], r["check"]): r["violations"] for r in quality.quality_report(bad).collect()
+        }
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == 24
+    assert {k: v for k, v in found.items() if v} == EXPECTED
+
+
+def test_gate(spark, bad):
+    good = star(spark, [sale(1)], [product(1)], [customer(1)])
+    quality.assert_quality(quality.quality_report(good))
+    with pytest.raises(QualityError, match="sales.unknown_product=2"):
+        quality.assert_quality(quality.quality_report(bad))
+    allowed = frozenset(check for _, check in EXPECTED)
+    quality.assert_quality(quality.quality_report(bad), allowed)
+
+
+def test_empty_star_passes(spark):
+    report = rows(quality.quality_report(star(spark)))
+    assert len(report) == 24
+    assert {r[2] for r in report} == {0}
+
+
+def test_row_counts(bad):
+    assert sorted(rows(quality.row_counts(bad))) == [("customers", 4), ("products", 3), ("sales", 8)]
+
+
+def test_schema_report(spark):
+    good = star(spark)
+    assert rows(quality.schema_report(spark, good)) == []
+    odd = Star(
+        good.sales.drop("total_amount"),
+        good.products.selectExpr("product_id", "category", "product_name", "price", "stock"),
+        good.customers.selectExpr("customer_id", "customer_name", "cast(rate AS double) rate", "1 AS x"),
+    )
+    assert rows(quality.schema_report(spark, odd)) == [
+        ("products", 1, "product_name string", "category string"),
+        ("products", 2, "category string", "product_name string"),
+        ("customers", 2, "rate decimal(3,2)", "rate double"),
+        ("customers", 3, None, "x int"),
+        ("sales", 5, "total_amount decimal(12,2)", None),
+    ]
