@@ -11,6 +11,7 @@ from tillscope.functions.money import (
     change_pct,
     currency_text,
     exact_mean,
+    money_sum,
     percent_text,
     share_pct,
 )
@@ -57,6 +58,30 @@ def test_mean_equals_exact_arithmetic(spark, pairs):
     assert _mean(spark, pairs) == expected
 
 
+AMOUNTS = st.integers(-(10**12) + 1, 10**12 - 1).map(lambda cents: Decimal(cents).scaleb(-2))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 3), st.none() | AMOUNTS), min_size=1, max_size=60))
+def test_money_sum_equals_exact_arithmetic(spark, pairs):
+    df = spark.createDataFrame(pairs, "k int, amount decimal(12,2)")
+    got = {k: v for k, v in df.groupBy("k").agg(money_sum(F.col("amount"))).collect()}
+    expected = {}
+    for k, amount in pairs:
+        expected.setdefault(k, []).append(amount)
+    assert got == {
+        k: sum(a for a in amounts if a is not None) if any(a is not None for a in amounts) else None
+        for k, amounts in expected.items()
+    }
+
+
+def test_money_sum_outgrows_a_bigint_of_hundredths(spark):
+    amount = F.lit(Decimal("9999999999.99")).cast("decimal(12,2)")
+    copies = spark.range(20_000_000)
+    # 2e7 x 1e12 hundredths is twice the range of a bigint.
+    assert copies.agg(money_sum(amount)).first()[0] == Decimal("9999999999.99") * 20_000_000
+
+
 def test_changes(spark):
     df = spark.createDataFrame(
         [(110.0, 100.0), (90.0, 100.0), (5.0, 5.0), (5.0, 0.0), (0.0, 0.0), (1.0025, 1.0)],

@@ -7,12 +7,35 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillscope.model import MONEY_SUM
+
 # Wording of the comparison labels and the currency sign.
 NO_PRIOR_DATA = "No previous-period data available"
 VERSUS_PRIOR = "vs previous period"
 CURRENCY = "₹"
 
 
+# money_sum splits hundredths at this bit, so that neither half overflows a bigint before 8e12 rows.
+_LOW_BITS = 20
+
+
+def money_sum(amount: Column) -> Column:
+    """Exact sum of decimal(12,2) amounts, null if there are none; an aggregate like sum().
+
+    The buffer of a plain decimal sum is too wide for a machine word, and updating it costs more than
+    the rest of a grouped aggregation. Here every row adds two integers, the high and low bits of its
+    hundredths; they are put together once per group.
+    """
+    hundredths = (amount * 100).cast("bigint")
+    high = F.sum(F.shiftright(hundredths, _LOW_BITS)).cast("decimal(19,0)")
+    low = F.sum(hundredths.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(19,0)")
+    return ((high * 2**_LOW_BITS + low) * F.lit(Decimal("0.01"))).cast(MONEY_SUM)
+
+
+def money_or_zero(total: Column) -> Column:
+    return F.coalesce(total, F.lit(0)).cast(MONEY_SUM)
+
+
 def exact_mean(total: Column, count: Column) -> Column:
     """total / count to two places, half away from zero, 0 when count is 0.
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.filters import SalesFilter
-from tillscope.functions.money import exact_mean
-from tillscope.model import MONEY_SUM, Star
-from tillscope.operators.facts import LINES, REVENUE, Measure, rollup, rows, sold_lines
+from tillscope.functions.money import exact_mean, money_sum
+from tillscope.model import Star
+from tillscope.operators.facts import LINES, REVENUE, Kind, Measure, rollup, rows, sold_lines
 
 SPENT = REVENUE.named("total_spent")
 ORDERS = LINES.named("orders")
-AMOUNTS = Measure("amounts", "total_amount", counts=True)
+AMOUNTS = Measure("amounts", "total_amount", Kind.COUNT)
 
 
 def customer_kpis(star: Star) -> DataFrame:
@@ -27,7 +27,7 @@ def customer_kpis(star: Star) -> DataFrame:
     ).scalar()
     per_customer = star.sales.groupBy("customer_id").agg(
         rows().alias("lines"),
-        F.sum("total_amount").alias("spent"),
+        money_sum(F.col("total_amount")).alias("spent"),
         F.count("total_amount").alias("amounts"),
     )
     sold = per_customer.agg(

@@ -16,13 +16,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.filters import SalesFilter
-from tillscope.model import MONEY_SUM, Star
+from tillscope.functions.money import money_or_zero, money_sum
+from tillscope.model import Star
+
+
+class Kind(Enum):
+    MONEY = "money"
+    UNITS = "units"
+    COUNT = "count"
 
 
 @dataclass(frozen=True)
@@ -31,25 +39,28 @@ class Measure:
 
     name: str
     column: str
-    counts: bool = False
-    type: str = "bigint"
+    kind: Kind
 
     def first_step(self) -> Column:
-        return (F.count if self.counts else F.sum)(self.column).alias(self.name)
+        aggregates = {Kind.MONEY: money_sum, Kind.UNITS: F.sum, Kind.COUNT: F.count}
+        return aggregates[self.kind](F.col(self.column)).alias(self.name)
 
     def next_step(self) -> Column:
         return F.sum(self.name).alias(self.name)
 
     def result(self) -> Column:
-        return F.coalesce(F.col(self.name), F.lit(0)).cast(self.type).alias(self.name)
+        total = F.col(self.name)
+        if self.kind is Kind.MONEY:
+            return money_or_zero(total).alias(self.name)
+        return F.coalesce(total, F.lit(0)).cast("bigint").alias(self.name)
 
     def named(self, name: str) -> Measure:
-        return Measure(name, self.column, self.counts, self.type)
+        return replace(self, name=name)
 
 
-REVENUE = Measure("revenue", "total_amount", type=MONEY_SUM)
-UNITS = Measure("units_sold", "quantity")
-LINES = Measure("order_count", "sale_id", counts=True)
+REVENUE = Measure("revenue", "total_amount", Kind.MONEY)
+UNITS = Measure("units_sold", "quantity", Kind.UNITS)
+LINES = Measure("order_count", "sale_id", Kind.COUNT)
 
 
 def rows() -> Column:

@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 
 from tillscope.filters import ALL, SalesFilter
 from tillscope.functions.calendar import month_name
-from tillscope.functions.money import change_direction, change_label, change_pct, exact_mean, per_unit
+from tillscope.functions.money import (
+    change_direction,
+    change_label,
+    change_pct,
+    exact_mean,
+    money_or_zero,
+    money_sum,
+    per_unit,
+)
 from tillscope.model import MONEY_SUM, Star
 from tillscope.operators.facts import rows, sold_lines
 
 
-def _money(total: Column) -> Column:
-    return F.coalesce(total, F.lit(0)).cast(MONEY_SUM)
-
-
 def total_kpis(star: Star) -> DataFrame:
     """One row: revenue and number of sales, products and customers, all unfiltered."""
     facts = star.sales.agg(
-        _money(F.sum("total_amount")).alias("total_revenue"), rows().alias("total_orders")
+        money_or_zero(money_sum(F.col("total_amount"))).alias("total_revenue"), rows().alias("total_orders")
     )
     return facts.select(
         "total_revenue",
@@ -33,7 +37,7 @@ def total_kpis(star: Star) -> DataFrame:
 
 def _period_measures() -> list[Column]:
     return [
-        F.sum("total_amount").alias("revenue"),
+        money_sum(F.col("total_amount")).alias("revenue"),
         F.count_distinct("sale_id").alias("orders"),
         F.count_distinct("customer_id").alias("active_customers"),
     ]
@@ -44,7 +48,7 @@ def period_kpis(star: Star, flt: SalesFilter) -> DataFrame:
     lines = sold_lines(star, flt, "sale_id", "customer_id", "total_amount")
     return (
         lines.agg(*_period_measures())
-        .withColumn("revenue", _money(F.col("revenue")))
+        .withColumn("revenue", money_or_zero(F.col("revenue")))
         .withColumn("aov", per_unit(F.col("revenue"), F.col("orders")))
     )
 
@@ -156,5 +160,5 @@ def filter_for_year(star: Star, year: int | str | None = None, category: str = A
 def average_sale(star: Star) -> DataFrame:
     """One row: mean amount per sales line, two places."""
     return star.sales.agg(
-        exact_mean(F.sum("total_amount"), F.count("total_amount")).alias("avg_order")
+        exact_mean(money_sum(F.col("total_amount")), F.count("total_amount")).alias("avg_order")
     )

@@ -13,8 +13,8 @@ from tillscope.functions.calendar import (
     month_year_label,
     quarter_label,
 )
-from tillscope.functions.money import per_unit, share_pct
-from tillscope.model import MONEY_SUM, Star
+from tillscope.functions.money import money_or_zero, money_sum, per_unit, share_pct
+from tillscope.model import Star
 from tillscope.operators.facts import LINES, REVENUE, aggregate, by_product, grand_total, rows
 
 # Ranges longer than this many days are shown by month.
@@ -94,7 +94,7 @@ def period_summary(star: Star, level: str = "month") -> DataFrame:
     """
     rank = F.struct("revenue", -F.col("period_no"), "period")
     summary = _periods(star, level).agg(
-        F.coalesce(F.sum("revenue"), F.lit(0)).cast(MONEY_SUM).alias("total_revenue"),
+        money_or_zero(F.sum("revenue")).alias("total_revenue"),
         rows().alias("period_count"),
         F.max(rank).alias("peak"),
     )
@@ -131,7 +131,7 @@ def date_coverage(star: Star) -> DataFrame:
 def monthly_activity(star: Star) -> DataFrame:
     """Sales lines and revenue per calendar month."""
     per_month = star.sales.groupBy(F.month("sale_date").alias("month_no")).agg(
-        rows().alias("tx_count"), F.sum("total_amount").cast(MONEY_SUM).alias("revenue")
+        rows().alias("tx_count"), money_sum(F.col("total_amount")).alias("revenue")
     )
     return per_month.select(
         "month_no", month_name(F.col("month_no")).alias("month_name"), "tx_count", "revenue"
