@@ -14,9 +14,10 @@ from __spark_entry__ import oracle_sql, queries
 from tests.stars import customer, one, product, rows, star
 from tillscope.filters import InventoryFilter, SalesFilter, StockBand
 from tillscope.model import Star
-from tillscope.operators import customers, insights, inventory, kpis, olap, products, trends
+from tillscope.operators import customers, insights, inventory, kpis, olap, products, quality, trends
 from tillscope.operators.facts import fits_broadcast
 from tillscope.plans.oracles import BODIES
+from tillscope.sources.order_tables import load_order_tables
 
 FOLDER = "/root/testdata/sf0.001"
 with_tables = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no driver tables here")
@@ -254,6 +255,58 @@ def test_adaptive_execution_splits_the_hot_product_of_distinct_counts(spark, ske
     assert got["revenue"] == float(sum(line[4] for line in known))
 
 
+@pytest.fixture(scope="module")
+def hot_order(spark, tmp_path_factory):
+    """Order tables in which one order has a third of all lines."""
+    path = str(tmp_path_factory.mktemp("hot_order"))
+    spark.range(ROWS).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7L ELSE id % 5003 END AS l_orderkey",
+        "id % 50 AS l_partkey",
+        "cast(id % 9 + 1 AS double) AS l_quantity",
+        "id % 1000 / 4D AS l_extendedprice",
+    ).repartition(8).write.parquet(path + "/lineitem.parquet")
+    spark.range(5003).selectExpr(
+        "id AS o_orderkey",
+        "id % 80 AS o_custkey",
+        "TIMESTAMP_NTZ'1997-01-01 10:00:00' + make_dt_interval(cast(id % 300 AS int)) AS o_orderdate",
+    ).write.parquet(path + "/orders.parquet")
+    spark.range(50).selectExpr(
+        "id AS p_partkey",
+        "concat('p', id) AS p_name",
+        "concat('t', id % 3) AS p_type",
+        "cast(id AS int) AS p_size",
+        "cast(id AS double) AS p_retailprice",
+    ).write.parquet(path + "/part.parquet")
+    spark.range(80).selectExpr("id AS c_custkey", "concat('c', id) AS c_name").write.parquet(
+        path + "/customer.parquet"
+    )
+    return load_order_tables(spark, path)
+
+
+@pytest.mark.parametrize(
+    ("query", "expected"),
+    [
+        (lambda s: kpis.total_kpis(s).select("total_orders"), [(ROWS,)]),
+        (lambda s: trends.revenue_by_year(s).select("yr"), [(1997,)]),
+        (lambda s: products.best_category(s).select("category"), [("t1",)]),
+        (lambda s: quality.duplicate_keys(s, "sales"), [(5003,)]),
+        (lambda s: kpis.period_kpis(s, YEAR).select("orders"), [(5003,)]),
+        (lambda s: customers.customer_kpis(s).select("repeat_customers"), [(80,)]),
+    ],
+)
+def test_hot_order_is_split_where_lines_meet_orders(spark, hot_order, query, expected):
+    with no_broadcast(
+        spark,
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="4k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="4k",
+        spark__sql__shuffle__partitions="40",
+    ):
+        df = query(hot_order)
+        assert rows(df) == expected
+        assert "skew=true" in final_plan(df)
+
+
 def test_small_dimensions_are_joined_without_shuffling_the_fact(spark, skewed):
     df = products.category_revenue(skewed)
     text = plan(df)

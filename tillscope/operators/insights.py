@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillscope.filters import SalesFilter
 from tillscope.functions.money import (
     change_label,
+    change_pct,
     count_text,
     currency_text,
     percent_text,
@@ -18,7 +19,7 @@ from tillscope.functions.money import (
 from tillscope.model import MONEY_SUM, Star
 from tillscope.operators.facts import REVENUE, UNITS, by_product, grand_total
 from tillscope.operators.inventory import inventory_bands, low_stock_count
-from tillscope.operators.kpis import average_sale, period_comparison
+from tillscope.operators.kpis import average_sale, period_pair
 
 LEADER, TOP_SKU, REPLENISH, OPTIMAL, MOMENTUM, VOLUME = (
     "category_leader",
@@ -70,7 +71,7 @@ def executive_insights(star: Star, flt: SalesFilter) -> DataFrame:
     ).limit(1)
     bands = inventory_bands(star)
     to_restock = F.col("out_of_stock") + F.col("low_stock")
-    periods = period_comparison(star, flt)
+    periods = period_pair(star, flt)
     has_prior = F.col("prior_orders") > 0
 
     parts = [
@@ -104,7 +105,7 @@ def executive_insights(star: Star, flt: SalesFilter) -> DataFrame:
             4,
             F.when(has_prior, MOMENTUM).otherwise(VOLUME),
             revenue=F.col("cur_revenue"),
-            pct=F.when(has_prior, F.col("revenue_pct")),
+            pct=F.when(has_prior, change_pct(F.col("cur_revenue"), F.col("prior_revenue"))),
             orders=F.col("cur_orders"),
             customers=F.col("cur_customers"),
             aov=F.col("cur_aov"),

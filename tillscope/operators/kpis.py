@@ -18,7 +18,7 @@ from tillscope.functions.money import (
     money_sum,
     per_unit,
 )
-from tillscope.model import MONEY_SUM, Star
+from tillscope.model import Star
 from tillscope.operators.facts import rows, sold_lines
 
 
@@ -53,45 +53,53 @@ def period_kpis(star: Star, flt: SalesFilter) -> DataFrame:
     )
 
 
-def period_comparison(star: Star, flt: SalesFilter) -> DataFrame:
-    """One row: a period against the period of the same length before it.
+COMPARED = ("revenue", "orders", "customers", "aov")
+
+
+def period_pair(star: Star, flt: SalesFilter) -> DataFrame:
+    """One row: the measures of a period (cur_*) and of the period of the same length before (prior_*).
 
     The two ranges are disjoint and adjacent, so one pass over both tags each line; the tagged totals
     (two rows) are then turned into columns by a global aggregate, which always yields a row.
     """
-    prior = flt.prior()
-    both = SalesFilter(prior.start, flt.end, flt.category)
-    is_current = F.col("sale_date") >= F.lit(flt.start)
+    both = SalesFilter(flt.prior().start, flt.end, flt.category)
     tagged = (
         sold_lines(star, both, "sale_date", "sale_id", "customer_id", "total_amount")
-        .groupBy(is_current.alias("is_current"))
+        .groupBy((F.col("sale_date") >= F.lit(flt.start)).alias("is_current"))
         .agg(*_period_measures())
     )
 
-    def pick(name: str, current: bool) -> Column:
-        side = F.col("is_current") if current else ~F.col("is_current")
-        return F.coalesce(F.max(F.when(side, F.col(name))), F.lit(0))
+    def side(prefix: str, chosen: Column) -> list[Column]:
+        def pick(name: str) -> Column:
+            return F.max(F.when(chosen, F.col(name)))
 
-    picked = []
-    for prefix, current in (("cur", True), ("prior", False)):
-        picked += [
-            pick("revenue", current).cast(MONEY_SUM).alias(f"{prefix}_revenue"),
-            pick("orders", current).alias(f"{prefix}_orders"),
-            pick("active_customers", current).alias(f"{prefix}_customers"),
+        return [
+            money_or_zero(pick("revenue")).alias(f"{prefix}_revenue"),
+            F.coalesce(pick("orders"), F.lit(0)).alias(f"{prefix}_orders"),
+            F.coalesce(pick("active_customers"), F.lit(0)).alias(f"{prefix}_customers"),
         ]
-    wide = tagged.agg(*picked)
-    for prefix in ("cur", "prior"):
-        aov = per_unit(F.col(f"{prefix}_revenue"), F.col(f"{prefix}_orders"))
-        wide = wide.withColumn(f"{prefix}_aov", aov)
 
-    names = ("revenue", "orders", "customers", "aov")
-    changes = {n: change_pct(F.col(f"cur_{n}"), F.col(f"prior_{n}")) for n in names}
+    current = F.col("is_current")
+    wide = tagged.agg(*side("cur", current), *side("prior", ~current))
     return wide.select(
-        *[f"cur_{n}" for n in names],
-        *[f"prior_{n}" for n in names],
-        *[pct.alias(f"{n}_pct") for n, pct in changes.items()],
-        *[change_direction(pct).alias(f"{n}_direction") for n, pct in changes.items()],
-        *[change_label(pct).alias(f"{n}_label") for n, pct in changes.items()],
+        "*",
+        *[
+            per_unit(F.col(f"{p}_revenue"), F.col(f"{p}_orders")).alias(f"{p}_aov")
+            for p in ("cur", "prior")
+        ],
+    )
+
+
+def period_comparison(star: Star, flt: SalesFilter) -> DataFrame:
+    """One row: a period against the one before, with change, direction and label per measure."""
+    pair = period_pair(star, flt)
+    changes = [
+        change_pct(F.col(f"cur_{n}"), F.col(f"prior_{n}")).alias(f"{n}_pct") for n in COMPARED
+    ]
+    return pair.select("*", *changes).select(
+        "*",
+        *[change_direction(F.col(f"{n}_pct")).alias(f"{n}_direction") for n in COMPARED],
+        *[change_label(F.col(f"{n}_pct")).alias(f"{n}_label") for n in COMPARED],
     )
 
 
