@@ -116,36 +116,26 @@ def executive_insights(star: Star, flt: SalesFilter) -> DataFrame:
 
 def insight_texts(insights: DataFrame) -> DataFrame:
     """One sentence per row of `executive_insights`."""
+    kind, subject = F.col("kind"), F.coalesce("subject", F.lit("N/A"))
     money, aov = currency_text(F.col("revenue")), currency_text(F.col("aov"))
-    count = {c: count_text(F.col(c)) for c in ("units", "orders", "customers", "out_of_stock", "low_stock")}
+    units, orders, customers, out, low = (
+        count_text(F.col(c)) for c in ("units", "orders", "customers", "out_of_stock", "low_stock")
+    )
 
     def text(*parts: Column | str) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    kind = F.col("kind")
-    subject = F.coalesce("subject", F.lit("N/A"))
-    sentence = (
-        F.when(
-            kind == LEADER,
-            text(subject, " leads with ", money, ", ", percent_text(F.col("pct")), " of revenue"),
-        )
-        .when(kind == TOP_SKU, text(subject, " sells most: ", money, " from ", count["units"], " units"))
-        .when(
-            kind == REPLENISH,
-            text(
-                count["units"], " products to restock: ",
-                count["out_of_stock"], " sold out, ", count["low_stock"], " low",
-            ),
-        )
-        .when(kind == OPTIMAL, F.lit("No product needs restocking"))
-        .when(kind == MOMENTUM, text("Revenue ", change_label(F.col("pct")), ", average order ", aov))
-        .otherwise(
-            text(
-                count["orders"], " orders by ", count["customers"], " customers, average order ", aov
-            )
-        )
-    )
-    return insights.select("seq", "kind", sentence.alias("text"))
+    share, change = percent_text(F.col("pct")), change_label(F.col("pct"))
+    sentences = {
+        LEADER: text(subject, " leads with ", money, ", ", share, " of revenue"),
+        TOP_SKU: text(subject, " sells most: ", money, " from ", units, " units"),
+        REPLENISH: text(units, " products to restock: ", out, " sold out, ", low, " low"),
+        OPTIMAL: text("No product needs restocking"),
+        MOMENTUM: text("Revenue ", change, ", average order ", aov),
+        VOLUME: text(orders, " orders by ", customers, " customers, average order ", aov),
+    }
+    chosen = F.coalesce(*[F.when(kind == k, sentence) for k, sentence in sentences.items()])
+    return insights.select("seq", "kind", chosen.alias("text"))
 
 
 def olap_insights(star: Star) -> DataFrame:

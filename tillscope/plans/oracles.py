@@ -427,6 +427,18 @@ BODIES: dict[str, str] = {
     "olap_dice_all": _dice("TRUE"),
     "olap_pivot": f"SELECT category, {_PIVOT_MONTHS} FROM fact GROUP BY category",
     "executive_insights": _EXECUTIVE,
+    "executive_insight_texts": f"""
+    SELECT seq, kind, CASE kind
+        WHEN 'category_leader' THEN subject || ' leads with ' || {_rupees('revenue')} || ', '
+            || format('{{:.1f}}', pct) || '% of revenue'
+        WHEN 'top_sku' THEN subject || ' sells most: ' || {_rupees('revenue')} || ' from '
+            || format('{{:,}}', units) || ' units'
+        WHEN 'replenishment' THEN format('{{:,}}', units) || ' products to restock: '
+            || format('{{:,}}', out_of_stock) || ' sold out, ' || format('{{:,}}', low_stock) || ' low'
+        WHEN 'momentum' THEN 'Revenue ' || CASE WHEN pct > 0 THEN '↑ ' WHEN pct < 0 THEN '↓ ' ELSE '' END
+            || format('{{:.1f}}', abs(pct)) || '% vs previous period, average order ' || {_rupees('aov')}
+        END AS text
+    FROM ({_EXECUTIVE})""",
     "olap_insights": f"""
     SELECT COALESCE((SELECT product_name FROM ({_by_units(tail='LIMIT 1')})), 'N/A') AS best_product,
            COALESCE((SELECT category FROM ({_by_revenue('category', tail='LIMIT 1')})), 'N/A')

@@ -115,6 +115,9 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "olap_pivot": olap.pivot,
     # insights
     "executive_insights": lambda s: insights.executive_insights(s, YEAR_1997),
+    "executive_insight_texts": lambda s: insights.insight_texts(
+        insights.executive_insights(s, YEAR_1997)
+    ),
     "olap_insights": insights.olap_insights,
     # data quality
     "row_counts": quality.row_counts,

@@ -15,6 +15,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,12 @@ def ingest_star(
 
 def current_version(spark: SparkSession, target: str) -> str:
     """The version committed last. Version ids start with their time, so ties cannot arise."""
-    log = spark.read.schema(COMMITS).json(f"{target}/commits")
+    try:
+        log = spark.read.schema(COMMITS).json(f"{target}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"no committed star under {target}") from error
     latest = log.agg(F.max(F.struct("committed_at", "version")).alias("latest"))
     version = latest.select("latest.version").first()[0]
     if version is None:
