@@ -13,6 +13,10 @@ LOW_STOCK = "Low Stock"
 IN_STOCK = "In Stock"
 BADGE_CRITICAL = "🔴 Critical (Out of Stock)"
 BADGE_URGENT = "🟡 Urgent (Low Stock)"
+CATALOG_OUT = "🔴 Out of Stock"
+CATALOG_LOW = "🟡 Low (%d left)"
+CATALOG_IN = "🟢 In Stock (%d units)"
+ALERT_LOW = "Low (%d units)"
 
 # Limits and default of the replenishment target.
 TARGET_MIN, TARGET_MAX, TARGET_DEFAULT = 10, 500, 50
@@ -38,16 +42,14 @@ def urgency_badge(stock: Column) -> Column:
 def catalog_label(stock: Column) -> Column:
     return _by_band(
         stock,
-        F.lit("🔴 Out of Stock"),
-        F.concat(F.lit("🟡 Low ("), stock.cast("string"), F.lit(" left)")),
-        F.concat(F.lit("🟢 In Stock ("), stock.cast("string"), F.lit(" units)")),
+        F.lit(CATALOG_OUT),
+        F.format_string(CATALOG_LOW, stock),
+        F.format_string(CATALOG_IN, stock),
     )
 
 
 def alert_label(stock: Column) -> Column:
-    return F.when(stock == 0, OUT_OF_STOCK).otherwise(
-        F.concat(F.lit("Low ("), stock.cast("string"), F.lit(" units)"))
-    )
+    return F.when(stock == 0, OUT_OF_STOCK).otherwise(F.format_string(ALERT_LOW, stock))
 
 
 def suggested_reorder(stock: Column, target: int) -> Column:

@@ -1,4 +1,7 @@
-"""Report views: picked, renamed and formatted columns, ready to print or export."""
+"""Report views: picked, renamed and formatted columns, ready to print or export.
+
+The column titles are fixed values: readers of the reports go by them.
+"""
 
 from __future__ import annotations
 
