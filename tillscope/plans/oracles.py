@@ -35,6 +35,10 @@ def _rupees(value: str, places: int = 0) -> str:
     return RUPEES.format(value=value, places=places)
 
 
+def _iso(day: str) -> str:
+    return f"CAST(CAST({day} AS DATE) AS VARCHAR)"
+
+
 def _mean(column: str) -> str:
     """Two places, half up, by whole hundredths; for columns without negative values."""
     total, count = f"CAST(SUM({column}) * 100 AS HUGEINT)", f"COUNT({column})"
@@ -97,7 +101,7 @@ def _comparison(current: str, prior: str) -> str:
 
 def _trend(bucket: str, label: str, where: str) -> str:
     return f"""
-    SELECT CAST({bucket} AS DATE) AS period_date, strftime({bucket}, '{label}') AS period_label,
+    SELECT {_iso(bucket)} AS period_date, strftime({bucket}, '{label}') AS period_label,
            {REVENUE} AS revenue, COUNT(sale_id) AS orders
     FROM fact WHERE {where} GROUP BY ALL ORDER BY period_date"""
 
@@ -299,14 +303,15 @@ BODIES: dict[str, str] = {
     SELECT (SELECT {REVENUE} FROM sales) AS total_revenue, (SELECT COUNT(*) FROM sales) AS total_orders,
            (SELECT COUNT(*) FROM products) AS total_products,
            (SELECT COUNT(*) FROM customers) AS total_customers""",
-    "filter_bounds": "SELECT MIN(sale_date) AS min_date, MAX(sale_date) AS max_date FROM sales",
+    "filter_bounds": f"""
+    SELECT {_iso('MIN(sale_date)')} AS min_date, {_iso('MAX(sale_date)')} AS max_date FROM sales""",
     "sale_years": "SELECT DISTINCT CAST(year(sale_date) AS BIGINT) AS yr FROM sales ORDER BY yr DESC",
     "categories": "SELECT DISTINCT category FROM products ORDER BY category",
     "sale_months": f"SELECT DISTINCT {MONTH_NAME} AS month, {MONTH_NO} AS month_no FROM sales",
-    "year_range": """
+    "year_range": f"""
     SELECT CAST(yr AS BIGINT) AS yr,
-           greatest(make_date(yr, 1, 1), (SELECT MIN(sale_date) FROM sales)) AS start_date,
-           least(make_date(yr, 12, 31), (SELECT MAX(sale_date) FROM sales)) AS end_date
+           {_iso("greatest(make_date(yr, 1, 1), (SELECT MIN(sale_date) FROM sales))")} AS start_date,
+           {_iso("least(make_date(yr, 12, 31), (SELECT MAX(sale_date) FROM sales))")} AS end_date
     FROM (SELECT DISTINCT year(sale_date) AS yr FROM sales)""",
     "period_kpis_all": _period_kpis(_between("1997-01-01", "1997-12-31")),
     "period_kpis_category": _period_kpis(_between("1997-01-01", "1997-12-31", "SMALL")),
@@ -339,8 +344,8 @@ BODIES: dict[str, str] = {
     "period_summary_year": _summary(_YEARS),
     "period_share": _share(_MONTHS),
     "period_share_quarter": _share(_QUARTERS),
-    "date_coverage": """
-    SELECT MIN(sale_date) AS min_date, MAX(sale_date) AS max_date,
+    "date_coverage": f"""
+    SELECT {_iso("MIN(sale_date)")} AS min_date, {_iso("MAX(sale_date)")} AS max_date,
            COUNT(DISTINCT month(sale_date)) AS distinct_months
     FROM sales""",
     "monthly_activity": f"""
@@ -385,9 +390,9 @@ BODIES: dict[str, str] = {
            {_mean('total_amount')} AS avg_purchase
     FROM customers c LEFT JOIN sales s ON c.customer_id = s.customer_id
     GROUP BY customer_name ORDER BY total_spent DESC""",
-    "recent_sales": """
-    SELECT sale_id, sale_date, CAST(total_amount AS DOUBLE) AS total_amount
-    FROM sales ORDER BY sale_date DESC, sale_id, sales.total_amount LIMIT 10""",
+    "recent_sales": f"""
+    SELECT sale_id, {_iso("sale_date")} AS sale_date, CAST(total_amount AS DOUBLE) AS total_amount
+    FROM sales ORDER BY sales.sale_date DESC, sale_id, sales.total_amount LIMIT 10""",
     "inventory_status": f"SELECT {_STATUS} AS status, COUNT(*) AS total FROM products GROUP BY ALL",
     "inventory_bands": f"""
     SELECT out_of_stock, low_stock, in_stock, skus AS total_products FROM ({_bands('TRUE')})""",
@@ -426,7 +431,12 @@ BODIES: dict[str, str] = {
     "olap_dice": _dice(f"category = 'SMALL' AND {MONTH_NAME} = 'March'"),
     "olap_dice_all": _dice("TRUE"),
     "olap_pivot": f"SELECT category, {_PIVOT_MONTHS} FROM fact GROUP BY category",
-    "executive_insights": _EXECUTIVE,
+    "executive_insights": f"""
+    SELECT * REPLACE (CAST(units AS DOUBLE) AS units, CAST(orders AS DOUBLE) AS orders,
+                      CAST(customers AS DOUBLE) AS customers,
+                      CAST(out_of_stock AS DOUBLE) AS out_of_stock,
+                      CAST(low_stock AS DOUBLE) AS low_stock)
+    FROM ({_EXECUTIVE})""",
     "executive_insight_texts": f"""
     SELECT seq, kind, CASE kind
         WHEN 'category_leader' THEN subject || ' leads with ' || {_rupees('revenue')} || ', '
@@ -488,11 +498,11 @@ BODIES: dict[str, str] = {
            target_stock AS "Target Stock Level", suggested_reorder AS "Suggested Reorder Qty",
            est_reorder_cost AS "Estimated Restock Cost (INR)"
     FROM ({_catalog()})""",
-    "sales_report": """
-    SELECT sale_id, sale_date, customer_id, product_id, CAST(quantity AS BIGINT) AS quantity,
+    "sales_report": f"""
+    SELECT sale_id, {_iso("sale_date")} AS sale_date, customer_id, product_id, CAST(quantity AS BIGINT) AS quantity,
            CAST(total_amount AS DOUBLE) AS total_amount
     FROM sales
-    ORDER BY sale_date DESC, sale_id, product_id, customer_id, sales.quantity, sales.total_amount
+    ORDER BY sales.sale_date DESC, sale_id, product_id, customer_id, sales.quantity, sales.total_amount
     LIMIT 10""",
 }
 

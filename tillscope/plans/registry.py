@@ -1,7 +1,8 @@
 """Every registered query by name, with the arguments it runs with.
 
-Results leave through one edge rule: decimals become double and integers bigint, so that two engines
-can be compared value by value. Inside the operators money stays decimal.
+Results leave through one edge rule: decimals become double, integers bigint and dates ISO text, so
+that two engines can be compared value by value, whatever client reads them. The operators themselves
+return decimals and dates.
 """
 
 from __future__ import annotations
@@ -40,6 +41,18 @@ SEARCH = InventoryFilter(search=" Gear|^Red ", band=StockBand.ATTENTION)
 GEARS = InventoryFilter(search="gear", literal=True)
 HIGH_TARGET = 100
 
+
+
+def counts_as_double(df: DataFrame) -> DataFrame:
+    """Integer columns that may be null as double, since some clients have no integer null."""
+    return df.select(
+        *[
+            F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.LongType) else f.name
+            for f in df.schema
+        ]
+    )
+
+
 QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # headline numbers and filter values
     "total_kpis": kpis.total_kpis,
@@ -114,7 +127,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "olap_dice_all": olap.dice,
     "olap_pivot": olap.pivot,
     # insights
-    "executive_insights": lambda s: insights.executive_insights(s, YEAR_1997),
+    "executive_insights": lambda s: counts_as_double(insights.executive_insights(s, YEAR_1997)),
     "executive_insight_texts": lambda s: insights.insight_texts(
         insights.executive_insights(s, YEAR_1997)
     ),
@@ -136,16 +149,18 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
 
 
 def at_edge(df: DataFrame) -> DataFrame:
-    """Decimals as double, integers as bigint, everything else as it is."""
+    """Decimals as double, integers as bigint, dates as text, everything else as it is."""
     columns = []
     for field in df.schema:
-        column = F.col(f"`{field.name}`")
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double").alias(field.name)
+            name = f"CAST({name} AS DOUBLE) AS {name}"
         elif isinstance(field.dataType, T.IntegralType):
-            column = column.cast("bigint").alias(field.name)
-        columns.append(column)
-    return df.select(*columns)
+            name = f"CAST({name} AS BIGINT) AS {name}"
+        elif isinstance(field.dataType, T.DateType):
+            name = f"CAST({name} AS STRING) AS {name}"
+        columns.append(name)
+    return df.selectExpr(*columns)
 
 
 # Stars already opened, per session and folder. A star is only plans, no data is held; sharing it
