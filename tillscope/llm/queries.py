@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tillscope.llm import decontaminate, exact_dedup, line_dedup
+from tillscope.llm import bit_packing, decontaminate, exact_dedup, line_dedup, packing, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_packing": packing.op2_packing,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_token_files": bit_packing.op10_token_files,
 }
 
 ORACLES = {

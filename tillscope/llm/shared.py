@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def stored(frame: DataFrame, label: str, *partitions: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per session, wherever they run."""
+    context = spark.sparkContext
+    if not getattr(context, "_tillscope_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="tillscope-")) / "tillscope.zip", "w") as file:
+            for source in sorted(package.rglob("*.py")):
+                file.write(source, source.relative_to(package.parent))
+        context.addPyFile(file.filename)
+        context._tillscope_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
