@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillscope.llm import bit_packing, decontaminate, exact_dedup, html_text, jaccard, line_dedup, packing, quality, token_counts
+from tillscope.llm import bit_packing, context_tree, decontaminate, exact_dedup, html_text, jaccard, line_dedup, packing, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_context_tree": context_tree.op6_context_tree,
     "op7_html": html_text.op7_html,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
