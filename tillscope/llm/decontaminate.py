@@ -151,6 +151,15 @@ def _null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, on, "left").drop("other_id", "other_sig")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no window of a benchmark item."""
+    _, found = overlaps(docs, benchmark, span, gram)
+    hit = stored(found.select(F.col("doc_id").alias("hit_id"), F.col("sig").alias("hit_sig")).distinct(), "contaminated")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sig"), F.struct("*").alias("row"))
+    on = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sig") == F.col("hit_sig"))
+    return keyed.join(hit, on, "left_anti").select("row.*")
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document against every benchmark item."""
     result = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

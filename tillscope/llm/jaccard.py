@@ -198,7 +198,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     Words are \\w+ in lower case. Result, one row per row of `docs`: doc_id; class_id, the smallest doc_id
     that links connect it with (its own if none); copy_id, the smallest doc_id with the same set; n_copies,
     rows with the same set, itself included; n_texts, other sets that it links to; n_links, other rows that
-    it links to, copies included. A text of fewer than n words is one shingle; texts without words (null,
+    it links to, copies included; sig, a hash of the text. A text of fewer than n words is one shingle; texts without words (null,
     empty) link to nothing. Rows without an id link to nothing and have no class. Rows that repeat an id are
     rows of their own. No documents give no rows. Only doc_id and text are read. A task holds at most
     `most` texts.
@@ -251,14 +251,26 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
         ),
         "per-set",
     )
-    linking = known.select("doc_id", "set1", "set2").join(per_set, ["set1", "set2"]).select(
-        "doc_id", "class_id", "copy_id", F.col("size").alias("n_copies"), "n_texts", (F.col("docs") + F.col("size") - 1).alias("n_links")
+    linking = known.select("doc_id", "sig", "set1", "set2").join(per_set, ["set1", "set2"]).select(
+        "doc_id", "class_id", "copy_id", F.col("size").alias("n_copies"), "n_texts", (F.col("docs") + F.col("size") - 1).alias("n_links"), "sig"
     )
     alone = signed.where(F.col("doc_id").isNull() | F.col("set1").isNull())
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    return linking.union(alone.select("doc_id", "doc_id", "doc_id", one, none, none))
+    return linking.union(alone.select("doc_id", "doc_id", "doc_id", one, none, none, "sig"))
 
 
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate classes and link counts of every document."""
     return jaccard_join(table(spark, folder, "documents"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
+    """The rows of `docs`, all columns, without near copies: of each class the smallest doc_id stays.
+
+    Rows that repeat id and text stay once. Texts without words and rows without an id all stay.
+    """
+    classes = jaccard_join(docs, threshold, n)
+    stay = stored(classes.where(F.col("class_id") == F.col("doc_id")).select("doc_id", "sig").distinct(), "stay")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sig"), F.struct("*").alias("row"))
+    kept = keyed.join(stay, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
+    return kept.select("row.*").union(docs.where(F.col("doc_id").isNull()))

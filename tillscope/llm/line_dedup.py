@@ -27,8 +27,8 @@ def lines_of(text: Column) -> Column:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, text): sig tells rows apart that repeat an id with another text."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
+    """(doc_id, sig, text, row): sig tells rows apart that repeat an id with another text, row has all columns."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sig"), "text", F.struct("*").alias("row"))
 
 
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -120,10 +120,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """Drop lines that at least `min_docs` documents hold, except in the largest doc_id that holds them.
 
     A line's key is the line without blanks at both ends and with A-Z in lower case; keys shorter than
-    `min_chars` code points always stay. Result: doc_id, n_lines, n_dropped, kept_text, one row per row of
-    `docs`. Rows that repeat an id are one document for the count. A null id is the smallest. Null and empty
+    `min_chars` code points always stay. Result: doc_id, n_lines, n_dropped, kept_text and row (a struct of
+    all columns of `docs`), one row per row of `docs`. Rows that repeat an id are one document for the count. A null id is the smallest. Null and empty
     text have one empty line, which stays. A text that loses all its lines becomes empty. No documents give
-    no rows. Only doc_id and text are read.
+    no rows. Only doc_id and text are used.
 
     The documents enter the runs in `batches` batches. Hot lines: counts are pre-aggregated, and the join has
     one row per line on the side of the runs, so that adaptive execution can split the other.
@@ -154,6 +154,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         F.size(lines_of(F.col("text"))).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(text).alias("kept_text"),
+        "row",
     )
 
 

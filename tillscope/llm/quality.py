@@ -168,6 +168,12 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     return scored.select("doc_id", in_fold(F.col("doc_id"), folds, held).alias("held_out"), "score", "predicted")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
+    """The rows of `docs`, all columns, that the classifier accepts (a score of 0.5 or more)."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return score(rows, train(docs, labels, **training), ["row"]).where("predicted = 1").select("row.*")
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality score."""
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
