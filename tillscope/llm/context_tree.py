@@ -201,14 +201,15 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     for keys, n in counts:
         node, zeros, ones = [], [], []
         symbol = keys & np.uint64(255)
-        for k in range(8):
-            node.append(keys & ~np.uint64(255) | np.uint64(1 << k) | symbol >> np.uint64(8 - k))
-            bit = symbol >> np.uint64(7 - k) & np.uint64(1)
-            zeros.append(np.where(bit == 0, n, 0))
-            ones.append(np.where(bit == 1, n, 0))
-        every = np.concatenate(node)
-        found, a = summed(every, np.concatenate(zeros))
-        nodes.append((found, a.astype(float), summed(every, np.concatenate(ones))[1].astype(float)))
+        for k in range(8):  # grams are sorted, so are their first bits
+            each = keys & ~np.uint64(255) | np.uint64(1 << k) | symbol >> np.uint64(8 - k)
+            bit = (symbol >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, each[1:] != each[:-1]][: len(each)])
+            node.append(each[first])
+            for counted, weight in ((zeros, 1 - bit), (ones, bit)):
+                counted.append(np.add.reduceat(n * weight, first).astype(float) if len(first) else np.empty(0))
+        order = np.argsort(found := np.concatenate(node))
+        nodes.append((found[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]))
     depth = len(nodes) - 1
     parents: list[np.ndarray] = [np.empty(0, int)]
     for d in range(1, depth + 1):
@@ -250,7 +251,7 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     return tree
 
 
-def train(docs: DataFrame, depth: int = 5, most: int = 1 << 19) -> Tree:
+def train(docs: DataFrame, depth: int = 5, most: int = 1 << 18) -> Tree:
     """The tree of all texts of `docs`, with `most` contexts of each depth at most."""
     full = stored(gram_counts(docs, depth), "grams")
     cuts = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")) for d in range(depth + 1))))
@@ -260,7 +261,7 @@ def train(docs: DataFrame, depth: int = 5, most: int = 1 << 19) -> Tree:
     return grow([summed(keys[of == d].astype(np.uint64), n[of == d]) for d in range(depth + 1)])
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most: int = 1 << 19, most_words: int = 1 << 18) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most: int = 1 << 18, most_words: int = 1 << 18) -> DataFrame:
     """Base and model log10 probabilities of each row of `docs`, learnt from rows outside fold `held`.
 
     Result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Tokens are
