@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tillscope.plans.oracles import ORACLES
+from tillscope.plans.registry import QUERIES, on_order_tables
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("part", "customer", "orders", "lineitem")
@@ -27,13 +29,13 @@ def oracle():
 
 
 def test_registry_and_oracles_have_the_same_keys():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, oracle, name):
-    df = queries()[name](spark, FOLDER)
-    result = oracle.execute(oracle_sql()[name])
+    df = on_order_tables(QUERIES[name])(spark, FOLDER)
+    result = oracle.execute(ORACLES[name])
     oracle_types = {c[0]: str(c[1]) for c in result.description}
     assert {f.name: SPARK_TYPES[f.dataType.simpleString()] for f in df.schema} == oracle_types
 

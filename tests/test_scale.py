@@ -10,13 +10,13 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from tests.stars import customer, one, product, rows, star
 from tillscope.filters import InventoryFilter, SalesFilter, StockBand
 from tillscope.model import Star
 from tillscope.operators import customers, insights, inventory, kpis, olap, products, quality, trends
 from tillscope.operators.facts import fits_broadcast
-from tillscope.plans.oracles import BODIES
+from tillscope.plans.oracles import BODIES, ORACLES
+from tillscope.plans.registry import QUERIES, on_order_tables
 from tillscope.sources.order_tables import load_order_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -84,20 +84,20 @@ FACT_QUERIES = sorted(n for n, body in BODIES.items() if re.search(r"\b(sales|fa
 @pytest.mark.parametrize("name", FACT_QUERIES)
 def test_results_do_not_depend_on_broadcasting(spark, oracle, name):
     with no_broadcast(spark):
-        df = queries()[name](spark, FOLDER)
+        df = on_order_tables(QUERIES[name])(spark, FOLDER)
         columns = sorted(df.columns)
         ours = sorted(repr([r[c] for c in columns]) for r in df.collect())
         assert "BroadcastHashJoin" not in plan(df)
-    result = oracle.execute(oracle_sql()[name])
+    result = oracle.execute(ORACLES[name])
     order = [c[0] for c in result.description]
     theirs = sorted(repr([r[order.index(c)] for c in columns]) for r in result.fetchall())
     assert ours == theirs
 
 
 @with_tables
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plans_stay_native_and_free_of_cross_joins(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(on_order_tables(QUERIES[name])(spark, FOLDER))
     for operator in ("Cartesian", "NestedLoop", "Python", "Pandas", "Window", "MapPartitions"):
         assert operator not in text, operator
 
@@ -119,7 +119,7 @@ def test_plans_stay_native_and_free_of_cross_joins(spark, name):
     ],
 )
 def test_number_of_fact_scans(spark, name, scans):
-    text = final_plan(queries()[name](spark, FOLDER))
+    text = final_plan(on_order_tables(QUERIES[name])(spark, FOLDER))
     assert text.count("FileScan parquet [l_") == scans, text
 
 
@@ -138,18 +138,18 @@ def test_number_of_fact_scans(spark, name, scans):
     ],
 )
 def test_top_lists_are_not_fully_sorted(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(on_order_tables(QUERIES[name])(spark, FOLDER))
     assert "TakeOrderedAndProject" in text
     assert "rangepartitioning" not in text
 
 
 @with_tables
 def test_filters_and_columns_reach_the_scans(spark):
-    text = plan(queries()["category_breakdown"](spark, FOLDER))
+    text = plan(on_order_tables(QUERIES["category_breakdown"])(spark, FOLDER))
     orders = next(x for x in text.split("\n") if "FileScan parquet [o_" in x)
     assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in orders
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in orders
-    text = plan(queries()["restock_plan_target"](spark, FOLDER))
+    text = plan(on_order_tables(QUERIES["restock_plan_target"])(spark, FOLDER))
     assert "EqualTo(p_type,SMALL)" in text
 
 

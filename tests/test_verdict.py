@@ -1,0 +1,44 @@
+"""Fresh listings, money types, open ranges."""
+
+import shutil
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillscope.filters import SalesFilter
+from tillscope.functions.money import money_sum
+from tillscope.operators import kpis
+from tillscope.plans.registry import on_order_tables
+
+ORDER_TABLES = "/root/testdata/sf0.001"
+
+
+def test_queries_see_files_added_since_the_last_call(spark, tmp_path):
+    for name in ("lineitem", "orders", "part", "customer"):
+        (tmp_path / f"{name}.parquet").mkdir()
+        shutil.copy(f"{ORDER_TABLES}/{name}.parquet", tmp_path / f"{name}.parquet/part-0.parquet")
+    query = on_order_tables(lambda star: star.sales.groupBy().count())
+    before = query(spark, str(tmp_path)).first()[0]
+    shutil.copy(f"{ORDER_TABLES}/lineitem.parquet", tmp_path / "lineitem.parquet/part-1.parquet")
+    assert query(spark, str(tmp_path)).first()[0] == 2 * before
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(12,4)"])
+def test_money_of_another_type_is_refused(spark, kind):
+    amounts = spark.range(3).select(F.lit("0.2999").cast(kind).alias("amount"))
+    with pytest.raises(Exception, match="decimal\\(12,2\\)"):
+        amounts.agg(money_sum(F.col("amount"))).collect()
+
+
+def test_money_check_leaves_the_plan(spark):
+    amounts = spark.range(3).select(F.col("id").cast("decimal(12,2)").alias("amount"))
+    plan = amounts.agg(money_sum(F.col("amount")).alias("total"))
+    assert "raise_error" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert str(plan.first().total) == "3.00"
+
+
+@pytest.mark.parametrize("flt", [SalesFilter(), SalesFilter(start=date(1995, 1, 1)), SalesFilter(end=date(1995, 1, 1))])
+def test_an_open_range_has_no_prior_period(flt):
+    with pytest.raises(ValueError, match="open"):
+        flt.prior()

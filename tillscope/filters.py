@@ -44,8 +44,9 @@ class SalesFilter:
 
     def prior(self) -> SalesFilter:
         """The range of the same length that ends the day before this one starts."""
+        days = self.days
         last = self.start - timedelta(days=1)
-        return replace(self, start=last - timedelta(days=self.days - 1), end=last)
+        return replace(self, start=last - timedelta(days=days - 1), end=last)
 
     def on_sales(self, sales: DataFrame) -> DataFrame:
         """Date predicates, doubled on the year partition column where the layout has one."""

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillscope.model import MONEY_SUM
+from tillscope.model import AMOUNT, MONEY_SUM
 
 # Wording of the comparison labels and the currency sign.
 NO_PRIOR_DATA = "No previous-period data available"
@@ -23,10 +23,13 @@ def money_sum(amount: Column) -> Column:
     """Exact sum of decimal(12,2) amounts, null if there are none; an aggregate like sum().
 
     The buffer of a plain decimal sum is too wide for a machine word, and updating it costs more than
-    the rest of a grouped aggregation. Here every row adds two integers, the high and low bits of its
+    the rest of a grouped aggregation. Amounts of another type are refused when the query runs, since
+    hundredths would lose their rest. Here every row adds two integers, the high and low bits of its
     hundredths; they are put together once per group.
     """
-    hundredths = (amount * 100).cast("bigint")
+    kind = F.typeof(amount)  # folded away by the optimizer where it fits
+    wrong = F.raise_error(F.concat(F.lit("money must be decimal(12,2), not "), kind))
+    hundredths = F.when(kind == AMOUNT, (amount * 100).cast("bigint")).otherwise(wrong)
     high = F.sum(F.shiftright(hundredths, _LOW_BITS)).cast("decimal(19,0)")
     low = F.sum(hundredths.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(19,0)")
     return ((high * 2**_LOW_BITS + low) * F.lit(Decimal("0.01"))).cast(MONEY_SUM)

@@ -42,6 +42,9 @@ PRIMARY_KEYS = {"products": "product_id", "customers": "customer_id", "sales": "
 # Partition column of the stored sales layout; derived from sale_date, not part of the contract.
 SALE_YEAR = "sale_year"
 
+# The type of a sales amount.
+AMOUNT = "decimal(12,2)"
+
 # Wide enough for any sum of decimal(12,2) amounts, narrow enough to multiply exactly.
 MONEY_SUM = "decimal(32,2)"
 

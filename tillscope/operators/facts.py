@@ -84,7 +84,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     """
     try:
         estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:
+    except AttributeError:
         return False
     return estimate <= _broadcast_limit(df)
 

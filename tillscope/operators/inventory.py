@@ -165,13 +165,13 @@ def inventory_catalog(
             "target_stock",
             "suggested_reorder",
             "est_reorder_cost",
-            catalog_label(F.col("stock")).alias("status_label"),
         )
         .orderBy(
             F.asc_nulls_last("category"),
             F.asc_nulls_last("product_name"),
             F.asc_nulls_last("product_id"),
         )
+        .select("*", catalog_label(F.col("stock")).alias("status_label"))
     )
 
 
@@ -188,7 +188,6 @@ def restock_plan(
     return (
         _restock_scope(star, flt, target)
         .select(
-            urgency_badge(F.col("stock")).alias("urgency"),
             "severity",
             "product_id",
             "product_name",
@@ -207,6 +206,7 @@ def restock_plan(
             F.asc_nulls_last("product_name"),
             F.asc_nulls_last("product_id"),
         )
+        .select(urgency_badge(F.col("stock")).alias("urgency"), "*")
     )
 
 

@@ -52,9 +52,9 @@ def category_view(star: Star, flt: SalesFilter) -> DataFrame:
     )
 
 
-def top_products_view(star: Star, flt: SalesFilter) -> DataFrame:
+def top_products_view(star: Star, flt: SalesFilter, n: int = 5) -> DataFrame:
     return _view(
-        top_products_by_revenue(star, flt),
+        top_products_by_revenue(star, flt, n),
         {
             "Product": "product_name",
             "Category": "category",
@@ -64,9 +64,9 @@ def top_products_view(star: Star, flt: SalesFilter) -> DataFrame:
     )
 
 
-def top_customers_view(star: Star, flt: SalesFilter) -> DataFrame:
+def top_customers_view(star: Star, flt: SalesFilter, n: int = 5) -> DataFrame:
     return _view(
-        top_customers_in_period(star, flt),
+        top_customers_in_period(star, flt, n),
         {
             "Customer Name": "customer_name",
             "Total Spent": currency_text(F.col("total_spent")),
@@ -76,9 +76,9 @@ def top_customers_view(star: Star, flt: SalesFilter) -> DataFrame:
     )
 
 
-def urgent_stock_view(star: Star) -> DataFrame:
+def urgent_stock_view(star: Star, n: int = 6) -> DataFrame:
     return _view(
-        urgent_stock(star),
+        urgent_stock(star, n),
         {
             "Product": "product_name",
             "Category": "category",

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,20 +162,11 @@ def at_edge(df: DataFrame) -> DataFrame:
     return df.selectExpr(*columns)
 
 
-# Stars already opened, per session and folder. A star is only plans, no data is held; sharing it
-# saves listing the same files again for every query.
-_opened: WeakKeyDictionary[SparkSession, dict[str, Star]] = WeakKeyDictionary()
-
-
-def order_star(spark: SparkSession, path: str) -> Star:
-    stars = _opened.setdefault(spark, {})
-    if path not in stars:
-        stars[path] = load_order_tables(spark, path)
-    return stars[path]
-
-
 def on_order_tables(
     query: Callable[[Star], DataFrame],
 ) -> Callable[[SparkSession, str], DataFrame]:
-    """The query as a function of a session and a folder of order-processing tables."""
-    return lambda spark, path: at_edge(query(order_star(spark, path)))
+    """The query as a function of a session and a folder of order-processing tables.
+
+    Each call opens the tables anew, so that it sees files that were added since the last.
+    """
+    return lambda spark, path: at_edge(query(load_order_tables(spark, path)))
