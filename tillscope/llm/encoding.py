@@ -12,13 +12,16 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 
+MARKS = (".", ",", "!", "?", ";", ":")
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit numbers in bytes.
 
     Only for tokenizers that treat blanks as boundaries and drop them. `max_words` bounds the memory.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -38,6 +41,12 @@ class WordEncoder:
             text = text.lower()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def learn(self, words: list[str]) -> None:
+        for start in range(0, len(words), 10_000):
+            part = words[start : start + 10_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = array("I", found.ids).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """Null counts as empty; an empty text has no ids."""
         words = self.words(text or "")
@@ -46,10 +55,12 @@ class WordEncoder:
             if len(self.known) + len(new) > self.max_words:
                 self.known.clear()
                 new = list(set(words))
-            for start in range(0, len(new), 10_000):
-                part = new[start : start + 10_000]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[word] = array("I", found.ids).tobytes()
+            # The tokenizer cuts letters from a mark after them, so "word." is "word" and ".".
+            marked = [w for w in new if w[-1:] in MARKS and len(w) > 1 and w[:-1].lower().isalpha()]
+            plain = set(new).difference(marked).union(w[:-1] for w in marked).union(MARKS).difference(self.known)
+            self.learn(list(plain))
+            for word in marked:
+                self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
         return b"".join(map(self.known.__getitem__, words))
 
 
