@@ -64,7 +64,7 @@ def test_oracles(spark):
 def test_word_encoding_equals_whole_text():
     words = encoding.WordEncoder(tokenizer_path(), max_words=6)
     for text in TEXTS + ["a\x1cb c\x85d", "ΣΣ İx é fin.!! 'S don't", "<|ENDOFTEXT|> x"]:
-        assert np.frombuffer(words.encode(text), "<u4").tolist() == tokens(text)
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(text, "two", text)] == [tokens(text), tokens("two"), tokens(text)]
 
 
 def test_token_counts(docs, none):

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 
+#: Characters of texts whose new words are encoded together.
+TOGETHER = 4_000_000
 MARKS = (".", ",", "!", "?", ";", ":")
 
 
@@ -47,21 +49,19 @@ class WordEncoder:
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[word] = array("I", found.ids).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Null counts as empty; an empty text has no ids."""
-        words = self.words(text or "")
-        new = list(set(words).difference(self.known))
+    def encode(self, *texts: str | None) -> list[bytes]:
+        """Null counts as empty; an empty text has no ids. New words of all texts are encoded together."""
+        split = [self.words(text or "") for text in texts]
+        if len(self.known) > self.max_words:
+            self.known.clear()
+        new = set().union(*split).difference(self.known)
         if new:
-            if len(self.known) + len(new) > self.max_words:
-                self.known.clear()
-                new = list(set(words))
             # The tokenizer cuts letters from a mark after them, so "word." is "word" and ".".
             marked = [w for w in new if w[-1:] in MARKS and len(w) > 1 and w[:-1].lower().isalpha()]
-            plain = set(new).difference(marked).union(w[:-1] for w in marked).union(MARKS).difference(self.known)
-            self.learn(list(plain))
+            self.learn(list(new.difference(marked).union(w[:-1] for w in marked).union(MARKS).difference(self.known)))
             for word in marked:
                 self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
-        return b"".join(map(self.known.__getitem__, words))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -74,5 +74,12 @@ def encoded(batches: Iterable, path: str, end: int | None) -> Iterator[tuple[int
     """(doc_id, ids as bytes) of Arrow batches with doc_id and text; `end` is appended to each document."""
     words, tail = encoder(path), b"" if end is None else array("I", [end]).tobytes()
     for batch in batches:
+        ids, held, size = [], [], 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            yield doc_id, words.encode(text.as_py()) + tail
+            ids.append(doc_id)
+            held.append(text.as_py())
+            size += len(held[-1] or "")
+            if size > TOGETHER:
+                yield from zip(ids, (found + tail for found in words.encode(*held)), strict=True)
+                ids, held, size = [], [], 0
+        yield from zip(ids, (found + tail for found in words.encode(*held)), strict=True)
