@@ -9,11 +9,11 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
+from tillscope.llm.shared import worker_cache
 
 #: Characters of texts whose new words are encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 MARKS = (".", ",", "!", "?", ";", ":")
 
 
@@ -64,10 +64,9 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process and vocabulary."""
-    return WordEncoder(path)
+    """The encoder of this worker process."""
+    return worker_cache(("encoder", path), lambda: WordEncoder(path))
 
 
 def encoded(batches: Iterable, path: str, end: int | None) -> Iterator[tuple[int | None, bytes]]:

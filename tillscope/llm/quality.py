@@ -8,14 +8,13 @@ fixed order, and the shards' weights are averaged.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.shared import in_fold, ship, table
+from tillscope.llm.shared import in_fold, ship, table, worker_cache
 
 #: Words, and runs of other visible characters as words of their own.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -37,9 +36,8 @@ class Hashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def hashes() -> Hashes:
-    return Hashes()
+    return worker_cache(("hashes",), Hashes)
 
 
 def features(text: str | None, grams: int = 2) -> tuple[np.ndarray, np.ndarray]:

@@ -52,6 +52,20 @@ def ship(spark: SparkSession) -> None:
         context._tillscope_shipped = True
 
 
+_CACHE: dict = {}
+
+
+def worker_cache(key: tuple, make: Callable):
+    """What this worker process keeps between tasks under `key`. A new key drops the one before.
+
+    Workers live on through the stages of a pipeline; so the caches of different operators do not add up.
+    """
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
