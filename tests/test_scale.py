@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.stars import customer, one, product, rows, star
 from tillscope.filters import InventoryFilter, SalesFilter, StockBand
@@ -116,6 +117,7 @@ def test_plans_stay_native_and_free_of_cross_joins(spark, name):
         ("olap_insights", 2),
         ("total_kpis", 1),
         ("olap_pivot", 1),
+        ("quality_report", 2),
     ],
 )
 def test_number_of_fact_scans(spark, name, scans):
@@ -255,6 +257,24 @@ def test_adaptive_execution_splits_the_hot_product_of_distinct_counts(spark, ske
     assert got["revenue"] == float(sum(line[4] for line in known))
 
 
+def test_adaptive_execution_splits_the_hot_product_of_price_checks(spark, skewed):
+    amounts = (F.col("sale_id") % 100_000 / 100).cast("decimal(12,2)")  # amounts that hardly repeat
+    distinct = Star(skewed.sales.withColumn("total_amount", amounts), skewed.products, skewed.customers)
+    unknown = sum(line[2] >= 1000 for line in _lines())
+    with no_broadcast(
+        spark,
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="50k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="50k",
+        spark__sql__shuffle__partitions="40",
+    ):
+        df = quality.product_mismatches(distinct)
+        assert one(df)["unknown_product"] == unknown
+        text = final_plan(df)
+    assert "skew=true" in text
+    assert text.count("hashpartitioning(product_id") == 2  # lines and prices, once each
+
+
 @pytest.fixture(scope="module")
 def hot_order(spark, tmp_path_factory):
     """Order tables in which one order has a third of all lines."""

@@ -219,9 +219,20 @@ def test_jdbc_options():
     assert "partitionColumn" not in jdbc_options("customers", "jdbc:x")
 
 
-def test_jdbc_fact_needs_a_key_range():
-    with pytest.raises(ValueError, match="sales needs a KeyRange"):
-        load_star_jdbc(None, "jdbc:x")
+@pytest.mark.parametrize(
+    ("ranged", "small", "missing"),
+    [
+        ([], [], "sales"),
+        ([], ["sales", "products", "customers"], "sales"),
+        (["sales"], [], "products"),
+        (["sales"], ["products"], "customers"),
+        (["sales", "customers"], [], "products"),
+    ],
+)
+def test_jdbc_tables_need_a_key_range(ranged, small, missing):
+    ranges = {name: KeyRange("k", "1", "9", 3) for name in ranged}
+    with pytest.raises(ValueError, match=f"{missing} needs a KeyRange"):
+        load_star_jdbc(None, "jdbc:x", key_ranges=ranges, small=small)
 
 
 class _Recorder:
@@ -248,11 +259,11 @@ class _Recorder:
 
 def test_jdbc_reads_the_three_tables():
     recorder = _Recorder()
-    loaded = load_star_jdbc(
-        recorder, "jdbc:x", {"user": "u"}, {"sales": KeyRange("sale_id", "1", "9", 3)}
-    )
+    ranges = {"sales": KeyRange("sale_id", "1", "9", 3), "customers": KeyRange("customer_id", "1", "9", 2)}
+    loaded = load_star_jdbc(recorder, "jdbc:x", {"user": "u"}, ranges, small={"products"})
     assert {name: loaded.table(name) for name in CONTRACTS} == {name: name for name in CONTRACTS}
-    assert [o.get("numPartitions") for o in recorder.loaded if o["dbtable"] == "sales"] == ["3"]
+    parts = {o["dbtable"]: o.get("numPartitions") for o in recorder.loaded}
+    assert parts == {"sales": "3", "customers": "2", "products": None}
 
 
 @pytest.fixture(scope="module")

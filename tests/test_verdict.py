@@ -1,15 +1,18 @@
-"""Fresh listings, money types, open ranges."""
+"""Fresh listings, money types, open ranges, years from partitions, duplicate keys, old versions."""
 
 import shutil
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.stars import customer, product, rows, sale, star
 from tillscope.filters import SalesFilter
 from tillscope.functions.money import money_sum
-from tillscope.operators import kpis
+from tillscope.operators import kpis, quality
 from tillscope.plans.registry import on_order_tables
+from tillscope.sources.refresh import current_version, expire_versions, ingest_star, load_current_star, write_star
+from tillscope.sources.stars import load_star
 
 ORDER_TABLES = "/root/testdata/sf0.001"
 
@@ -42,3 +45,58 @@ def test_money_check_leaves_the_plan(spark):
 def test_an_open_range_has_no_prior_period(flt):
     with pytest.raises(ValueError, match="open"):
         flt.prior()
+
+
+DAYS = ["2022-05-05", "2022-07-01", "2023-12-31", "2024-01-01", "2024-03-01", None]
+
+
+@pytest.mark.parametrize("days", [DAYS, DAYS[:1], [None], []])
+def test_years_and_bounds_come_from_partitions(spark, tmp_path, days):
+    made = star(spark, [sale(i, day) for i, day in enumerate(days)], [product(1)], [customer(1)])
+    write_star(made, str(tmp_path / "star"))
+    stored = load_star(spark, str(tmp_path / "star"))
+    for query in (kpis.sale_years, kpis.filter_bounds, kpis.year_ranges):
+        assert rows(query(stored)) == rows(query(made))
+    if days:
+        plan = kpis.sale_years(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<>" in plan
+        plan = kpis.filter_bounds(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [((sale_year#" in plan
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_lines_meet_every_price_of_a_product_that_is_there_twice(spark, threshold):
+    made = star(
+        spark,
+        [sale(1, quantity=2, amount="4.00"), sale(2, product_id=None), sale(3, customer_id=9)],
+        [product(1, price="2.00"), product(1, price="3.00"), product(1, price=None), product(None)],
+        [customer(1), customer(1), customer(None)],
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = {(r[1], r[0]): r[2] for r in rows(quality.quality_report(made))}
+        alone = rows(quality.product_mismatches(made))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert alone == [(found["sales", "unknown_product"], found["sales", "amount_not_quantity_x_price"])]
+    assert found["sales", "unknown_product"] == 1
+    assert found["sales", "unknown_customer"] == 1
+
+
+def test_old_and_failed_versions_expire(spark, tmp_path):
+    source = star(spark, [sale(1)], [product(1)], [customer(1)])
+    for name in ("sales", "products", "customers"):
+        source.table(name).write.option("header", True).csv(str(tmp_path / "csv" / name))
+    target = tmp_path / "star"
+    for _ in range(3):
+        ingest_star(spark, str(tmp_path / "csv"), str(target))
+    good = sorted(p.name for p in (target / "versions").iterdir())
+    failed = "20200101T000000000000-aaaaaaaa"
+    (target / "versions" / failed).mkdir()
+    (target / "versions" / "29990101T000000000000-bbbbbbbb").mkdir()  # still running
+    with pytest.raises(ValueError, match="current"):
+        expire_versions(spark, str(target), keep=0)
+    assert expire_versions(spark, str(target), keep=2, failed_after=timedelta(days=1)) == [failed, good[0]]
+    assert expire_versions(spark, str(target), keep=1) == [good[1]]
+    assert current_version(spark, str(target)) == good[2]
+    assert load_current_star(spark, str(target)).sales.count() == 1

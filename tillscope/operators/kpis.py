@@ -18,7 +18,7 @@ from tillscope.functions.money import (
     money_sum,
     per_unit,
 )
-from tillscope.model import Star
+from tillscope.model import SALE_YEAR, Star
 from tillscope.operators.facts import rows, sold_lines
 
 
@@ -104,15 +104,28 @@ def period_comparison(star: Star, flt: SalesFilter) -> DataFrame:
 
 
 def filter_bounds(star: Star) -> DataFrame:
-    """One row: first and last sale date, today for both when there are no sales."""
-    return star.sales.agg(
+    """One row: first and last sale date, today for both when there are no sales.
+
+    Of sales stored by year only the partitions of the first and the last year are read.
+    """
+    sales = star.sales
+    if SALE_YEAR in sales.columns:
+        year = F.col(SALE_YEAR)
+        first, last = (star.sales.agg(end(SALE_YEAR)).scalar() for end in (F.min, F.max))
+        sales = sales.where((year == first) | (year == last))
+    return sales.agg(
         F.coalesce(F.min("sale_date"), F.current_date()).alias("min_date"),
         F.coalesce(F.max("sale_date"), F.current_date()).alias("max_date"),
     )
 
 
+def _sale_year(star: Star) -> Column:
+    """The year of a sale; of sales stored by year it takes no column of the files."""
+    return F.col(SALE_YEAR).cast("int") if SALE_YEAR in star.sales.columns else F.year("sale_date")
+
+
 def sale_years(star: Star) -> DataFrame:
-    return star.sales.select(F.year("sale_date").alias("yr")).distinct().orderBy(F.desc_nulls_first("yr"))
+    return star.sales.select(_sale_year(star).alias("yr")).distinct().orderBy(F.desc_nulls_first("yr"))
 
 
 def categories(star: Star) -> DataFrame:
@@ -130,8 +143,20 @@ def year_ranges(star: Star) -> DataFrame:
 
     Only the first year's start and the last year's end can be clamped, and there the bound is that
     year's own extreme date. Outer query and subquery so need the same per-year extremes, and Spark
-    computes them once.
+    computes them once. Of sales stored by year, the years and bounds come from the partitions.
     """
+    if SALE_YEAR in star.sales.columns:
+        bounds = filter_bounds(star).select(F.struct("min_date", "max_date").alias("bounds")).scalar()
+        years = star.sales.select(_sale_year(star).alias("yr")).where("yr IS NOT NULL").distinct()
+        return (
+            years.withColumn("bounds", bounds)
+            .select(
+                "yr",
+                F.greatest(F.make_date("yr", F.lit(1), F.lit(1)), "bounds.min_date").alias("start_date"),
+                F.least(F.make_date("yr", F.lit(12), F.lit(31)), "bounds.max_date").alias("end_date"),
+            )
+            .orderBy(F.desc("yr"))
+        )
     dated = star.sales.where(F.col("sale_date").isNotNull())
     per_year = dated.groupBy(F.year("sale_date").alias("yr")).agg(
         F.min("sale_date").alias("first"), F.max("sale_date").alias("last")

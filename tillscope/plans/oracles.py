@@ -23,6 +23,8 @@ WITH products AS (
     FROM sales s JOIN products p ON s.product_id = p.product_id
 ), fact_1997 AS (
     SELECT * FROM fact WHERE sale_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'
+), fact_1995 AS (
+    SELECT * FROM fact WHERE sale_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'
 )
 """
 
@@ -214,7 +216,7 @@ _PIVOT_MONTHS = ", ".join(
 def _dice(where: str) -> str:
     return f"""
     SELECT category, {MONTH_NAME} AS month, {REVENUE} AS revenue
-    FROM fact WHERE {where} GROUP BY category, {MONTH_NAME}"""
+    FROM fact WHERE {where} GROUP BY category, {MONTH_NAME}, {MONTH_NO} ORDER BY {MONTH_NO}, category"""
 
 
 def _bands(where: str) -> str:
@@ -229,6 +231,19 @@ def _bands(where: str) -> str:
         FROM ({_inventory(where)})"""
 
 
+def _distribution(where: str) -> str:
+    return f"""
+    SELECT status, "count" FROM (
+        SELECT 'In Stock' AS status, in_stock AS "count" FROM ({_bands(where)})
+        UNION ALL SELECT 'Low Stock', low_stock FROM ({_bands(where)})
+        UNION ALL SELECT 'Out of Stock', out_of_stock FROM ({_bands(where)})
+    ) WHERE "count" > 0"""
+
+
+_COMPARE_1995 = _comparison(
+    _between("1995-01-01", "1995-12-31"), _between("1994-01-01", "1994-12-31")
+)
+
 _COMPARE_1997 = _comparison(
     _between("1997-01-01", "1997-12-31"), _between("1996-01-02", "1996-12-31")
 )
@@ -254,6 +269,34 @@ _EXECUTIVE = f"""
     FROM ({_COMPARE_1997})"""
 
 
+_EXECUTIVE_1995 = _EXECUTIVE.replace(_COMPARE_1997, _COMPARE_1995).replace("fact_1997", "fact_1995")
+
+
+def _insights(source: str) -> str:
+    counts = "units orders customers out_of_stock low_stock".split()
+    doubles = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in counts)
+    return f"""
+    SELECT * REPLACE ({doubles}) FROM ({source}) ORDER BY seq"""
+
+
+def _texts(source: str) -> str:
+    return f"""
+    SELECT seq, kind, CASE kind
+        WHEN 'category_leader' THEN subject || ' leads with ' || {_rupees('revenue')} || ', '
+            || format('{{:.1f}}', pct) || '% of revenue'
+        WHEN 'top_sku' THEN subject || ' sells most: ' || {_rupees('revenue')} || ' from '
+            || format('{{:,}}', units) || ' units'
+        WHEN 'replenishment' THEN format('{{:,}}', units) || ' products to restock: '
+            || format('{{:,}}', out_of_stock) || ' sold out, ' || format('{{:,}}', low_stock) || ' low'
+        WHEN 'stock_optimal' THEN 'No product needs restocking'
+        WHEN 'momentum' THEN 'Revenue ' || CASE WHEN pct > 0 THEN '↑ ' WHEN pct < 0 THEN '↓ ' ELSE '' END
+            || format('{{:.1f}}', abs(pct)) || '% vs previous period, average order ' || {_rupees('aov')}
+        WHEN 'volume' THEN format('{{:,}}', orders) || ' orders by ' || format('{{:,}}', customers)
+            || ' customers, average order ' || {_rupees('aov')}
+        END AS text
+    FROM ({source}) ORDER BY seq"""
+
+
 def _nulls(table: str, columns: str) -> list[str]:
     return [
         f"SELECT 'null_{c}' AS \"check\", '{table}' AS table_name, COUNT(*) AS violations"
@@ -306,21 +349,20 @@ BODIES: dict[str, str] = {
     SELECT {_iso('MIN(sale_date)')} AS min_date, {_iso('MAX(sale_date)')} AS max_date FROM sales""",
     "sale_years": "SELECT DISTINCT CAST(year(sale_date) AS BIGINT) AS yr FROM sales ORDER BY yr DESC",
     "categories": "SELECT DISTINCT category FROM products ORDER BY category",
-    "sale_months": f"SELECT DISTINCT {MONTH_NAME} AS month, {MONTH_NO} AS month_no FROM sales",
+    "sale_months": f"SELECT DISTINCT {MONTH_NAME} AS month, {MONTH_NO} AS month_no FROM sales ORDER BY month_no",
     "year_range": f"""
     SELECT CAST(yr AS BIGINT) AS yr,
            {_iso("greatest(make_date(yr, 1, 1), (SELECT MIN(sale_date) FROM sales))")} AS start_date,
            {_iso("least(make_date(yr, 12, 31), (SELECT MAX(sale_date) FROM sales))")} AS end_date
-    FROM (SELECT DISTINCT year(sale_date) AS yr FROM sales)""",
+    FROM (SELECT DISTINCT year(sale_date) AS yr FROM sales) ORDER BY yr DESC""",
     "period_kpis_all": _period_kpis(_between("1997-01-01", "1997-12-31")),
     "period_kpis_category": _period_kpis(_between("1997-01-01", "1997-12-31", "SMALL")),
     "period_comparison": _COMPARE_1997,
     "period_comparison_category": _comparison(
         _between("1997-01-01", "1997-12-31", "SMALL"), _between("1996-01-02", "1996-12-31", "SMALL")
     ),
-    "period_comparison_no_prior": _comparison(
-        _between("1995-01-01", "1995-12-31"), _between("1994-01-01", "1994-12-31")
-    ),
+    "period_comparison_no_prior": _COMPARE_1995,
+    "period_kpis_empty": _period_kpis(_between("1980-01-01", "1980-12-31")),
     "average_sale": f"SELECT {_mean('total_amount')} AS avg_order FROM sales",
     "trend_monthly": _trend(
         "date_trunc('month', sale_date)", "%b %Y", _between("1997-01-01", "1997-12-31")
@@ -329,16 +371,20 @@ BODIES: dict[str, str] = {
         "date_trunc('month', sale_date)", "%b %Y", _between("1997-01-01", "1997-12-31", "SMALL")
     ),
     "trend_daily": _trend("sale_date", "%d %b", _between("1998-03-01", "1998-03-31")),
+    "trend_70_days": _trend("sale_date", "%d %b", _between("1998-01-01", "1998-03-11")),
+    "trend_71_days": _trend(
+        "date_trunc('month', sale_date)", "%b %Y", _between("1998-01-01", "1998-03-12")
+    ),
     "revenue_by_year": f"""
-    SELECT CAST(year(sale_date) AS BIGINT) AS yr, {REVENUE} AS revenue FROM sales GROUP BY ALL""",
+    SELECT CAST(year(sale_date) AS BIGINT) AS yr, {REVENUE} AS revenue FROM sales GROUP BY ALL ORDER BY yr""",
     "revenue_by_quarter": f"""
-    SELECT period_no AS quarter_no, period, revenue FROM ({_QUARTERS})""",
+    SELECT period_no AS quarter_no, period, revenue FROM ({_QUARTERS}) ORDER BY quarter_no""",
     "revenue_by_month": f"""
-    SELECT period_no AS month_no, period AS month, revenue FROM ({_MONTHS})""",
+    SELECT period_no AS month_no, period AS month, revenue FROM ({_MONTHS}) ORDER BY month_no""",
     "revenue_by_year_quarter": f"""
     SELECT CAST(year(sale_date) AS BIGINT) AS yr, 'Q' || quarter(sale_date) AS quarter,
            {REVENUE} AS revenue
-    FROM sales GROUP BY ALL""",
+    FROM sales GROUP BY ALL ORDER BY yr, quarter""",
     "period_summary": _summary(_MONTHS),
     "period_summary_year": _summary(_YEARS),
     "period_share": _share(_MONTHS),
@@ -350,7 +396,7 @@ BODIES: dict[str, str] = {
     "monthly_activity": f"""
     SELECT {MONTH_NO} AS month_no, {MONTH_NAME} AS month_name, COUNT(*) AS tx_count,
            {REVENUE} AS revenue
-    FROM sales GROUP BY ALL""",
+    FROM sales GROUP BY ALL ORDER BY month_no""",
     "category_revenue": _by_revenue("category"),
     "category_revenue_one": _by_revenue("category", source="fact WHERE category = 'SMALL'"),
     "category_breakdown": _BREAKDOWN,
@@ -388,7 +434,7 @@ BODIES: dict[str, str] = {
     SELECT customer_name, COUNT(sale_id) AS orders, {REVENUE} AS total_spent,
            {_mean('total_amount')} AS avg_purchase
     FROM customers c LEFT JOIN sales s ON c.customer_id = s.customer_id
-    GROUP BY customer_name ORDER BY total_spent DESC""",
+    GROUP BY customer_name ORDER BY total_spent DESC, customer_name""",
     "recent_sales": f"""
     SELECT sale_id, {_iso("sale_date")} AS sale_date, CAST(total_amount AS DOUBLE) AS total_amount
     FROM sales ORDER BY sales.sale_date DESC, sale_id, sales.total_amount LIMIT 10""",
@@ -407,13 +453,12 @@ BODIES: dict[str, str] = {
     FROM products WHERE contains(lower(product_name), 'gear') GROUP BY category""",
     "inventory_catalog": _catalog(),
     "inventory_search": _catalog("regexp_matches(lower(product_name), 'gear|^red') AND stock <= 10"),
+    "inventory_out": _catalog("stock = 0"),
+    "inventory_low": _catalog("stock BETWEEN 1 AND 10"),
+    "inventory_in": _catalog("stock > 10"),
     "inventory_kpis": _bands("category = 'SMALL'"),
-    "stock_distribution": f"""
-    SELECT status, "count" FROM (
-        SELECT 'In Stock' AS status, in_stock AS "count" FROM ({_bands("category = 'SMALL'")})
-        UNION ALL SELECT 'Low Stock', low_stock FROM ({_bands("category = 'SMALL'")})
-        UNION ALL SELECT 'Out of Stock', out_of_stock FROM ({_bands("category = 'SMALL'")})
-    ) WHERE "count" > 0""",
+    "stock_distribution": _distribution("category = 'SMALL'"),
+    "stock_distribution_low": _distribution("stock BETWEEN 1 AND 10"),
     "restock_plan": _restock(),
     "restock_plan_target": _restock("category = 'SMALL'", 100),
     "restock_totals": """
@@ -421,33 +466,21 @@ BODIES: dict[str, str] = {
            CAST(COALESCE(SUM(greatest(0, 50 - stock) * price), 0) AS DOUBLE) AS cost
     FROM products WHERE stock <= 10""",
     "olap_rollup": f"""
-    SELECT CAST(year(sale_date) AS BIGINT) AS yr, {REVENUE} AS revenue FROM sales GROUP BY ALL""",
+    SELECT CAST(year(sale_date) AS BIGINT) AS yr, {REVENUE} AS revenue FROM sales GROUP BY ALL ORDER BY yr""",
     "olap_drilldown": f"""
     SELECT {MONTH_NAME} AS month, {MONTH_NO} AS month_no, {REVENUE} AS revenue
-    FROM sales GROUP BY ALL""",
+    FROM sales GROUP BY ALL ORDER BY month_no""",
     "olap_slice_all": _by_revenue("category"),
     "olap_slice_category": _by_revenue("product_name", source="fact WHERE category = 'SMALL'"),
     "olap_dice": _dice(f"category = 'SMALL' AND {MONTH_NAME} = 'March'"),
     "olap_dice_all": _dice("TRUE"),
+    "olap_dice_month": _dice(f"{MONTH_NAME} = 'March'"),
+    "olap_dice_category": _dice("category = 'SMALL'"),
     "olap_pivot": f"SELECT category, {_PIVOT_MONTHS} FROM fact GROUP BY category",
-    "executive_insights": f"""
-    SELECT * REPLACE (CAST(units AS DOUBLE) AS units, CAST(orders AS DOUBLE) AS orders,
-                      CAST(customers AS DOUBLE) AS customers,
-                      CAST(out_of_stock AS DOUBLE) AS out_of_stock,
-                      CAST(low_stock AS DOUBLE) AS low_stock)
-    FROM ({_EXECUTIVE})""",
-    "executive_insight_texts": f"""
-    SELECT seq, kind, CASE kind
-        WHEN 'category_leader' THEN subject || ' leads with ' || {_rupees('revenue')} || ', '
-            || format('{{:.1f}}', pct) || '% of revenue'
-        WHEN 'top_sku' THEN subject || ' sells most: ' || {_rupees('revenue')} || ' from '
-            || format('{{:,}}', units) || ' units'
-        WHEN 'replenishment' THEN format('{{:,}}', units) || ' products to restock: '
-            || format('{{:,}}', out_of_stock) || ' sold out, ' || format('{{:,}}', low_stock) || ' low'
-        WHEN 'momentum' THEN 'Revenue ' || CASE WHEN pct > 0 THEN '↑ ' WHEN pct < 0 THEN '↓ ' ELSE '' END
-            || format('{{:.1f}}', abs(pct)) || '% vs previous period, average order ' || {_rupees('aov')}
-        END AS text
-    FROM ({_EXECUTIVE})""",
+    "executive_insights": _insights(_EXECUTIVE),
+    "executive_insights_no_prior": _insights(_EXECUTIVE_1995),
+    "executive_insight_texts": _texts(_EXECUTIVE),
+    "executive_insight_texts_no_prior": _texts(_EXECUTIVE_1995),
     "olap_insights": f"""
     SELECT COALESCE((SELECT product_name FROM ({_by_units(tail='LIMIT 1')})), 'N/A') AS best_product,
            COALESCE((SELECT category FROM ({_by_revenue('category', tail='LIMIT 1')})), 'N/A')

@@ -39,7 +39,9 @@ IN_CATEGORY = InventoryFilter(category=CATEGORY)
 SEARCH = InventoryFilter(search=" Gear|^Red ", band=StockBand.ATTENTION)
 GEARS = InventoryFilter(search="gear", literal=True)
 HIGH_TARGET = 100
-
+EMPTY_YEAR = SalesFilter(date(1980, 1, 1), date(1980, 12, 31))
+DAYS_70 = SalesFilter(date(1998, 1, 1), date(1998, 3, 11))
+DAYS_71 = SalesFilter(date(1998, 1, 1), date(1998, 3, 12))
 
 
 def counts_as_double(df: DataFrame) -> DataFrame:
@@ -65,11 +67,14 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "period_comparison": lambda s: kpis.period_comparison(s, YEAR_1997),
     "period_comparison_category": lambda s: kpis.period_comparison(s, YEAR_1997_CATEGORY),
     "period_comparison_no_prior": lambda s: kpis.period_comparison(s, FIRST_YEAR),
+    "period_kpis_empty": lambda s: kpis.period_kpis(s, EMPTY_YEAR),
     "average_sale": kpis.average_sale,
     # time
     "trend_monthly": lambda s: trends.revenue_trend(s, YEAR_1997),
     "trend_monthly_category": lambda s: trends.revenue_trend(s, YEAR_1997_CATEGORY),
     "trend_daily": lambda s: trends.revenue_trend(s, MARCH_1998),
+    "trend_70_days": lambda s: trends.revenue_trend(s, DAYS_70),
+    "trend_71_days": lambda s: trends.revenue_trend(s, DAYS_71),
     "revenue_by_year": trends.revenue_by_year,
     "revenue_by_quarter": trends.revenue_by_quarter,
     "revenue_by_month": trends.revenue_by_month,
@@ -112,8 +117,12 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "inventory_by_category": lambda s: inventory.inventory_by_category(s, GEARS),
     "inventory_catalog": inventory.inventory_catalog,
     "inventory_search": lambda s: inventory.inventory_catalog(s, SEARCH),
+    "inventory_out": lambda s: inventory.inventory_catalog(s, InventoryFilter(band=StockBand.OUT)),
+    "inventory_low": lambda s: inventory.inventory_catalog(s, InventoryFilter(band=StockBand.LOW)),
+    "inventory_in": lambda s: inventory.inventory_catalog(s, InventoryFilter(band=StockBand.IN)),
     "inventory_kpis": lambda s: inventory.inventory_kpis(s, IN_CATEGORY),
     "stock_distribution": lambda s: inventory.stock_distribution(s, IN_CATEGORY),
+    "stock_distribution_low": lambda s: inventory.stock_distribution(s, InventoryFilter(band=StockBand.LOW)),
     "restock_plan": inventory.restock_plan,
     "restock_plan_target": lambda s: inventory.restock_plan(s, IN_CATEGORY, HIGH_TARGET),
     "restock_totals": inventory.restock_totals,
@@ -124,12 +133,18 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "olap_slice_category": lambda s: olap.slice_category(s, CATEGORY),
     "olap_dice": lambda s: olap.dice(s, CATEGORY, MONTH),
     "olap_dice_all": olap.dice,
+    "olap_dice_month": lambda s: olap.dice(s, month=MONTH),
+    "olap_dice_category": lambda s: olap.dice(s, CATEGORY),
     "olap_pivot": olap.pivot,
     # insights
     "executive_insights": lambda s: counts_as_double(insights.executive_insights(s, YEAR_1997)),
     "executive_insight_texts": lambda s: insights.insight_texts(
         insights.executive_insights(s, YEAR_1997)
     ),
+    "executive_insights_no_prior": lambda s: counts_as_double(insights.executive_insights(s, FIRST_YEAR)),
+    "executive_insight_texts_no_prior": lambda s: insights.insight_texts(
+        insights.executive_insights(s, FIRST_YEAR)
+    ),
     "olap_insights": insights.olap_insights,
     # data quality
     "row_counts": quality.row_counts,

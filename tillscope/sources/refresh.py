@@ -12,7 +12,7 @@ cluster half way leaves an unlisted folder and changes nothing.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -78,5 +78,31 @@ def current_version(spark: SparkSession, target: str) -> str:
     return version
 
 
+def expire_versions(
+    spark: SparkSession, target: str, keep: int = 2, failed_after: timedelta = timedelta(days=7)
+) -> list[str]:
+    """Delete old versions below `target` and return their ids, oldest first.
+
+    The newest `keep` committed versions stay, so the current one always does. A version that was never
+    committed goes once it is older than `failed_after`, which has to exceed the longest refresh. Queries
+    that still read an older version fail, so `keep` has to cover the running ones.
+    """
+    if keep < 1:
+        raise ValueError("the current version cannot be deleted")
+    current_version(spark, target)
+    log = spark.read.schema(COMMITS).json(f"{target}/commits").distinct()
+    committed = [r.version for r in log.orderBy("committed_at", "version").collect()]
+    oldest_running = f"{datetime.now(timezone.utc) - failed_after:%Y%m%dT%H%M%S%f}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/versions")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = sorted(status.getPath().getName() for status in files.listStatus(folder))
+    expired = [
+        v for v in held if v in committed[:-keep] or (v not in committed and v < oldest_running)
+    ]
+    for version in expired:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, version), True)
+    return expired
+
+
 def load_current_star(spark: SparkSession, target: str) -> Star:
     return load_star(spark, f"{target}/versions/{current_version(spark, target)}")

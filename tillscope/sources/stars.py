@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -93,15 +93,17 @@ def load_star_jdbc(
     url: str,
     connection: Mapping[str, str] | None = None,
     key_ranges: Mapping[str, KeyRange] | None = None,
+    small: Collection[str] = (),
 ) -> Star:
     """Read the three tables from a database. Filters and column picks are pushed into its queries.
 
-    A table without a key range is read by a single task, which is only fit for small tables, so the
-    fact needs one.
+    A table without a key range is read by a single task. So each table needs one, except a dimension
+    that the caller names in `small`.
     """
     key_ranges = key_ranges or {}
-    if "sales" not in key_ranges:
-        raise ValueError("sales needs a KeyRange, or one task would read the whole fact table")
+    for name in ("sales", "products", "customers"):
+        if name not in key_ranges and (name == "sales" or name not in small):
+            raise ValueError(f"{name} needs a KeyRange, or one task would read the whole table")
     return Star(
         **{
             name: spark.read.format("jdbc")
