@@ -67,6 +67,13 @@ def test_word_encoding_equals_whole_text():
         assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(text, "two", text)] == [tokens(text), tokens("two"), tokens(text)]
 
 
+def test_word_encoding_keeps_no_long_words():
+    words = encoding.WordEncoder(tokenizer_path())
+    for text in ("naïve" * 5000, "long" * 50 + ".", "a" * 40 + ". " + "a" * 40, "b" * 50 + ". " + "b" * 50, "short " + "long" * 50):
+        assert np.frombuffer(words.encode(text)[0], "<u4").tolist() == tokens(text)
+        assert max(map(len, words.known), default=0) <= encoding.LONGEST
+
+
 def test_token_counts(docs, none):
     lengths = token_counts.token_lengths(docs, tokenizer_path())
     histogram = token_counts.length_histogram(lengths)

@@ -1,7 +1,8 @@
 """Encoding of whole texts by a public tokenizer, a word at a time.
 
 The tokenizer drops white space and never joins across it, so a text's ids are the ids of its words in
-turn. Words repeat, so each worker keeps the ids of words that it has met, up to a bound.
+turn. Words repeat, so each worker keeps the ids of words that it has met, up to a bound. Long words, such as
+whole texts without blanks, are encoded each time.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ from tillscope.llm.shared import worker_cache
 
 #: Characters of texts whose new words are encoded together.
 TOGETHER = 1_000_000
+#: Characters of the longest word whose ids are kept.
+LONGEST = 40
 MARKS = (".", ",", "!", "?", ";", ":")
 
 
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit numbers in bytes.
 
-    Only for tokenizers that treat blanks as boundaries and drop them. `max_words` bounds the memory.
+    Only for tokenizers that treat blanks as boundaries and drop them. `max_words` words of LONGEST characters
+    bound the memory, with the words of one call.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,7 +65,12 @@ class WordEncoder:
             self.learn(list(new.difference(marked).union(w[:-1] for w in marked).union(MARKS).difference(self.known)))
             for word in marked:
                 self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        found = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > LONGEST:
+                self.known.pop(word, None)
+                self.known.pop(word[:-1], None)
+        return found
 
 
 def encoder(path: str) -> WordEncoder:
