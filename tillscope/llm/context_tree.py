@@ -5,21 +5,23 @@ decisions; for each decision the last 0 to `depth` bytes are contexts. Spark cou
 training texts. Krichevsky-Trofimov estimates of all depths are mixed with the weights that context-tree
 weighting gives them on the training counts; the frozen mixture then gives each text its code length.
 
-The counts cover all training texts. The tree that scoring uses keeps the most frequent contexts of each
-depth, `most` at most; what a dropped context would hold is coded by its shorter one. Word counts for the
-base score are exact: frequent words are looked up in the tasks, all others joined.
+The whole tree is a table for each depth, made by a groupBy (weights, from the leaves) and a join (mixture,
+from the root) on the parent context; the driver holds none of it. Frequent grams and words are looked up in
+the tasks, all others joined; how many are looked up changes the time and not the scores.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.llm.shared import in_fold, ship, stored, table
@@ -136,22 +138,36 @@ def frequent(counts: DataFrame, by: list[str], most: int) -> DataFrame:
     return counts.where(keep)
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after six steps of the recurrence; exact to 1e-10 for x >= 0.5."""
-    x = np.asarray(x, float)
+def log_gamma(x, log=np.log):
+    """Stirling's series after six steps of the recurrence; exact to 1e-10 for x >= 0.5. x: an array, or a column with its log."""
     y = x + 6
-    steps = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5))
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - steps
+    steps = log(x * (x + 1) * (x + 2)) + log((x + 3) * (x + 4) * (x + 5))
+    return (y - 0.5) * log(y) - y + math.log(2 * math.pi) / 2 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - steps
 
 
-def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def kt(zeros, ones, log=np.log):
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return log_gamma(zeros + 0.5, log) + log_gamma(ones + 0.5, log) - log_gamma(zeros + ones + 1.0, log) - math.log(math.pi)
+
+
+def bit_nodes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted bit nodes (context, then the byte's first bits after a leading one) of sorted grams; their zeros and ones."""
+    node, zeros, ones = [], [], []
+    symbol = keys & np.uint64(255)
+    for k in range(8):  # grams are sorted, so are their first bits
+        each = keys & ~np.uint64(255) | np.uint64(1 << k) | symbol >> np.uint64(8 - k)
+        bit = (symbol >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, each[1:] != each[:-1]][: len(each)])
+        node.append(each[first])
+        for counted, weight in ((zeros, 1 - bit), (ones, bit)):
+            counted.append(np.add.reduceat(n * weight, first) if len(first) else np.empty(0, np.int64))
+    order = np.argsort(found := np.concatenate(node))
+    return found[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
 @dataclass
 class Tree:
-    """The frozen mixture: per depth, sorted grams with log10 of their byte's probability, and sorted bit nodes
+    """The frozen mixture in memory, which the tests hold the tables against: per depth, sorted grams with log10 of their byte's probability, and sorted bit nodes
     (context, then the byte's first bits after a leading one) with the probability of a one."""
 
     grams: list[tuple[np.ndarray, np.ndarray]]
@@ -199,17 +215,8 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     """The mixture from the counts of grams of 1, 2, ... bytes."""
     nodes = []
     for keys, n in counts:
-        node, zeros, ones = [], [], []
-        symbol = keys & np.uint64(255)
-        for k in range(8):  # grams are sorted, so are their first bits
-            each = keys & ~np.uint64(255) | np.uint64(1 << k) | symbol >> np.uint64(8 - k)
-            bit = (symbol >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, each[1:] != each[:-1]][: len(each)])
-            node.append(each[first])
-            for counted, weight in ((zeros, 1 - bit), (ones, bit)):
-                counted.append(np.add.reduceat(n * weight, first).astype(float) if len(first) else np.empty(0))
-        order = np.argsort(found := np.concatenate(node))
-        nodes.append((found[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]))
+        node, zeros, ones = bit_nodes(keys, n)
+        nodes.append((node, zeros.astype(float), ones.astype(float)))
     depth = len(nodes) - 1
     parents: list[np.ndarray] = [np.empty(0, int)]
     for d in range(1, depth + 1):
@@ -251,24 +258,109 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     return tree
 
 
-def train(docs: DataFrame, depth: int = 5, most: int = 1 << 18) -> Tree:
-    """The tree of all texts of `docs`, with `most` contexts of each depth at most."""
-    full = stored(gram_counts(docs, depth), "grams")
-    cuts = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")) for d in range(depth + 1))))
-    shorter = stored(full.select("n", cuts.alias("g")).groupBy("g.depth", "g.key").agg(F.sum("n").alias("n")), "contexts")
-    kept = frequent(shorter, ["depth"], most).select(F.col("depth").cast("int"), "key", "n").toArrow()  # (depth + 1) * most rows at most
-    of, keys, n = (kept.column(c).to_numpy() for c in ("depth", "key", "n"))
-    return grow([summed(keys[of == d].astype(np.uint64), n[of == d]) for d in range(depth + 1)])
+def whole(batches: Iterator[pa.RecordBatch], first: str) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of rows that are sorted by `first` and dealt by its context, all rows of a context together."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        new = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+        held = {name: np.concatenate([held[name], v]) for name, v in new.items()} if held else new
+        context = held[first] >> 8
+        done = int(np.searchsorted(context, context[-1])) if len(context) else 0
+        if done:
+            yield {name: v[:done] for name, v in held.items()}
+            held = {name: v[done:] for name, v in held.items()}
+    if held and len(held[first]):
+        yield held
+
+
+def by_context(frame: DataFrame, key: str) -> DataFrame:
+    return frame.repartition(F.shiftright(key, 8)).sortWithinPartitions(key)
+
+
+def leaves(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of all bit nodes of some contexts, their counts, and log10 of the last byte's probability."""
+    prefix, context = node & 255, node & ~255
+    up = np.searchsorted(node, context | prefix >> 1)  # the node of one bit less
+    log = np.log10(np.array([1 - one, one]))
+    so_far = np.zeros(len(node))
+    for k in range(1, 8):
+        at = np.flatnonzero(prefix >> k == 1)
+        so_far[at] = so_far[up[at]] + log[prefix[at] & 1, up[at]]
+    at = np.flatnonzero(prefix >> 7 == 1)
+    keys = [context[at] | (prefix[at] << 1 & 255) | bit for bit in (0, 1)]
+    keys, n, value = np.concatenate(keys), np.concatenate([zeros[at], ones[at]]), np.concatenate([so_far[at] + log[0, at], so_far[at] + log[1, at]])
+    return keys[n > 0], n[n > 0], value[n > 0]
+
+
+def parent(node: str, depth: int) -> Column:
+    """The node or gram of the next shorter context, from one of `depth` bytes."""
+    return F.col(node).bitwiseAND((1 << 8 * depth) - 1)
+
+
+def train(docs: DataFrame, depth: int = 5) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, n, value) of each gram of depth + 1 bytes in the texts of `docs`, value being log10 of its last byte's
+    probability, and for each depth (node, one): the probability of a one at each bit node."""
+
+    def opened(batches):
+        for part in whole(batches, "key"):
+            node, zeros, ones = bit_nodes(part["key"].view(np.uint64), part["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(zeros), pa.array(ones)], ["node", "a", "b"])
+
+    def closed(batches):
+        for part in whole(batches, "node"):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, leaves(part["node"], part["a"], part["b"], part["one"]))), ["key", "n", "value"])
+
+    # From the leaves: the weight of a node's own estimate against that of its children.
+    deepest = by_context(gram_counts(docs, depth), "key").mapInArrow(opened, "node BIGINT, a BIGINT, b BIGINT")
+    nodes = [stored(deepest.withColumn("mixed", kt(F.col("a"), F.col("b"), F.log)).withColumn("own", F.lit(1.0)), "nodes")]
+    for d in range(depth, 0, -1):
+        shorter = nodes[0].groupBy(parent("node", d).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("mixed").alias("split"))
+        estimate = shorter.withColumn("estimate", kt(F.col("a"), F.col("b"), F.log))
+        mixed = F.greatest("estimate", "split") + F.log1p(F.exp(-F.abs(F.col("estimate") - F.col("split")))) - math.log(2)
+        own = F.exp(F.col("estimate") - math.log(2) - F.col("mixed"))
+        nodes.insert(0, stored(estimate.withColumn("mixed", mixed).select("node", "a", "b", "mixed", own.alias("own")), "nodes"))
+    # From the root: what the shorter contexts put in, and what they leave to the longer ones.
+    final: list[DataFrame] = []
+    one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
+    for d, each in enumerate(nodes):
+        if d == 0:
+            each = each.withColumns({"before": F.lit(0.0), "rest": F.lit(1.0)})
+        else:
+            above = final[-1].select(F.col("node").alias("up"), F.col("put").alias("before"), F.col("left").alias("rest"))
+            each = each.join(above, parent("node", d) == F.col("up"))
+        more = ["a", "b"] if d == depth else [(F.col("before") + F.col("rest") * F.col("own") * one).alias("put"), (F.col("rest") * (1 - F.col("own"))).alias("left")]
+        final.append(stored(each.select("node", (F.col("before") + F.col("rest") * one).alias("one"), *more), "mixture"))
+    grams_ = stored(by_context(final[-1], "node").mapInArrow(closed, "key BIGINT, n BIGINT, value DOUBLE"), "grams")
+    return grams_, [f.select("node", "one") for f in final]
+
+
+def unseen(keys: DataFrame, mixture: list[DataFrame]) -> DataFrame:
+    """(key, value) of distinct grams (key) of which not all bit nodes are known: each bit by its deepest known context."""
+    bit = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    context, symbol = F.col("key").bitwiseAND(~255), F.col("key").bitwiseAND(255)
+    shift = lambda by: F.call_function("shiftright", symbol, by)
+    each = keys.select("key", bit.alias("k")).select(
+        "key",
+        context.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k"))).bitwiseOR(shift(8 - F.col("k"))).alias("node"),
+        shift(7 - F.col("k")).bitwiseAND(1).alias("bit"),
+        F.lit(None).cast("double").alias("p"),
+    )
+    for d in range(len(mixture) - 1, -1, -1):
+        known = mixture[d].select(F.col("node").alias("known"), "one")
+        node = F.col("node").bitwiseAND((1 << 8 * (d + 1)) - 1)
+        each = each.join(known, node == F.col("known"), "left").select("key", "node", "bit", F.coalesce("p", "one").alias("p"))
+    p = F.coalesce("p", F.lit(0.5))
+    return each.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("value"))
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most: int = 1 << 18, most_words: int = 1 << 18) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most: int = 1 << 20, most_words: int = 1 << 18) -> DataFrame:
     """Base and model log10 probabilities of each row of `docs`, learnt from rows outside fold `held`.
 
     Result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Tokens are
     the words and one end, which counts as a word of its own; null and empty texts have the end alone. A row
     without an id is not held out. Rows that repeat an id are scored, and learnt from, each. Without training
     rows nothing is known and each bit has probability 1/2. No documents give no rows. Only doc_id and text
-    are read.
+    are read. `most` grams and `most_words` words are kept in the tasks at most; all others are joined.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -278,13 +370,15 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most:
     ends = training.count()
     n_words, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, distinct = total + ends, n_words + (ends > 0)
-    tree = spark.sparkContext.broadcast(train(training, depth, most))
+    known_grams, mixture = train(training, depth)
+    top = frequent(known_grams, [], most).select("key", "value").toArrow().sort_by("key")  # at most `most` rows
+    cache = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("key", "value")))
     common = frequent(words, [], most_words).toArrow()  # at most `most_words` rows
     known = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), np.log10(common.column("n").to_numpy() + 0.5).tolist(), strict=True)))
     end = float(np.log10(ends + 0.5))
 
     def scored(batches):
-        model, table_, serial = tree.value, known.value, TaskContext.get().partitionId() << 33
+        (frequent_, value), table_, serial = cache.value, known.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for start in range(0, len(batch), 1000):
                 part = batch.slice(start, 1000)
@@ -297,32 +391,51 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most:
                     n_known.append(len(tokens) - len(other) + (ends > 0))
                     rare.append(other)
                 sums, size = np.zeros(len(texts)), [len(stream(t)) for t in texts]
+                missed, missed_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for data, owner in chunks(((i, stream(t)) for i, t in enumerate(texts)), depth):
                     keys, of = grams(data, owner, depth)
-                    sums += np.bincount(of, model.log10(keys), len(texts))
+                    keys = keys.view(np.int64)
+                    if not ends:
+                        sums -= 8 * np.log10(2) * np.bincount(of, minlength=len(texts))
+                        continue
+                    hit = np.zeros(len(keys), bool)
+                    if len(frequent_):
+                        at = np.minimum(np.searchsorted(frequent_, keys), len(frequent_) - 1)
+                        hit = frequent_[at] == keys
+                        sums += np.bincount(of[hit], value[at[hit]], len(texts))
+                    missed.append(keys[~hit])
+                    missed_of.append(of[~hit])
+                offsets = np.searchsorted(np.concatenate(missed_of), np.arange(len(texts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(serial, serial + len(texts)), pa.int64()), part.column("doc_id"), pa.array([len(t) + 1 for t in texts], pa.int64()),
-                     pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(-sums / np.log10(2) / np.array(size)), pa.array(rare, pa.list_(pa.binary()))],
-                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "bits_per_byte", "rare"],
+                     pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.binary())),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(missed)))],
+                    ["row", "doc_id", "n_tokens", "n_known", "base", "coded", "n_bytes", "rare", "missed"],
                 )
                 serial += len(texts)
 
-    schema = "row BIGINT, doc_id BIGINT, n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, bits_per_byte DOUBLE, rare ARRAY<BINARY>"
+    schema = "row BIGINT, doc_id BIGINT, n_tokens BIGINT, n_known BIGINT, base DOUBLE, coded DOUBLE, n_bytes BIGINT, rare ARRAY<BINARY>, missed ARRAY<BIGINT>"
     told = stored(rows.mapInArrow(scored, schema), "scored")
     # All other words, whatever their number, meet their counts in a join.
     others = told.select("row", F.explode("rare").alias("word")).join(words, "word", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("also")
     )
+    # So do all other grams, those that training never saw by their shorter contexts.
+    pairs = told.select("row", F.explode("missed").alias("key"))
+    found = stored(pairs.select("key").distinct().join(known_grams.select("key", "value"), "key", "left"), "missed")
+    values = found.where("value IS NOT NULL").unionByName(unseen(found.where("value IS NULL").select("key"), mixture))
+    coded = pairs.join(values, "key").groupBy("row").agg(F.sum("value").alias("joined"))
+    score_ = F.col("coded") + F.coalesce("joined", F.lit(0.0))
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    return told.drop("rare").join(others, "row", "left").select(
+    return told.drop("rare", "missed").join(others, "row", "left").join(coded, "row", "left").select(
         "doc_id",
         in_fold(F.col("doc_id"), folds, held).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
-        "bits_per_byte",
+        score_.alias("score"),
+        (-score_ / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
