@@ -220,6 +220,26 @@ def test_context_tree_is_a_probability_and_ctw():
     assert math.isclose(10 ** root.log10(np.array([97], np.uint64))[0], (4.5 / 5) ** 6 * (3.5 / 5) * (3.5 / 4), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize(("depth", "most"), [(3, 4), (3, 1 << 20), (0, 2), (2, 0)])
+def test_context_tree_is_whole_whatever_is_kept_in_tasks(docs, depth, most):
+    data = lambda t: context_tree.stream(context_tree.words_of(t))
+    cut = lambda x, n: [int.from_bytes(x[i - n + 1 : i + 1], "big") for i in range(depth, len(x))]
+    keys_of = lambda t, n: cut(b"\n" * depth + data(t), n)
+    every = rows(docs)
+    learnt = [t for i, t in every if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = [Counter(k for t in learnt for k in keys_of(t, n)) for n in range(1, depth + 2)]
+    tree = context_tree.grow([context_tree.summed(np.array([*c], np.uint64), np.array([*c.values()])) for c in counts])
+    want = [tree.bits(np.array(keys_of(t, depth + 1), np.uint64)).sum() for _, t in every]
+    got = context_tree.score(docs, depth=depth, most=most).collect()
+    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-9)
+    assert np.allclose(sorted(r.bits_per_byte for r in got), sorted(-w / math.log10(2) / len(data(t)) for w, (_, t) in zip(want, every, strict=True)), rtol=1e-9)
+
+
+def test_context_tree_without_training_rows(docs):
+    got = context_tree.score(docs.where("doc_id IS NOT NULL"), folds=1, held=0, depth=2).collect()
+    assert got and all(math.isclose(r.bits_per_byte, 8) and r.n_known == 0 for r in got)
+
+
 def test_html(spark):
     x, y = html_text.labelled()
     assert all(html_text.is_main(r, html_text.tree()) == bool(label) for r, label in zip(x, y, strict=True))
