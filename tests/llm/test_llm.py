@@ -254,6 +254,30 @@ def test_html(spark):
     assert html_text.extract(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ("<p>One <svg class='i'/> two</p>", "One two"),
+        ("<p>One <svg class=i><title>t</title><path d='x'/><g>no</g></svg> two</p>", "One two"),
+        ("<p>One two</p><svg><path>no<p>Three</p>", "One two\n\nThree"),
+        ("<p><svg-icon a='b'></svg-icon>One <button-x>two</button-x> <template-x>three</template-x></p><video-player></video-player>", "One two three"),
+        ("<p>One <video src=x>no</p>", "One"),
+        ("<p>One <b>and <button>no</b> two</p>", "One and two"),
+        ("<p>One <button>no", "One"),
+        ("<ul><li>One <select><option>no<option>no<li>two</ul>", "One\n\ntwo"),
+        ("<div><button>no</div><p>One</p>", "One"),
+        ("<p>One <button><div>no</div><p>no</p></button> two</p>", "One two"),
+        ("<video><p>no</p><a>no</a></video><p>One</p>", "One"),
+        ("<p>One <object><object>no</object>no</object> two</p>", "One two"),
+        ("<p>One <script>'</script-x>'</script > two</p>", "One two"),
+        ("<datalist><option>no<option>no</datalist><p>One</p>", "One"),
+    ],
+)
+def test_html_skips_unseen_elements_and_no_more(inside, want):
+    page = f"<html><head><template>no</head><body><article><h1>Head</h1>{inside}</article><div><article><p>The last words of the page</p></article></div></body>"
+    assert "\n\n".join(text for text, _ in html_text.blocks(page)) == f"Head\n\n{want}\n\nThe last words of the page"
+
+
 def links(docs, threshold=0.8):
     known = [(i, t, {*jaccard.shingles(t).tolist()}) for i, t in docs if i is not None]
     near = lambda a, b: bool(a) and bool(b) and len(a & b) >= threshold * len(a | b)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from tillscope.llm.shared import ship, table
 
 # Element names of HTML, and words that name parts of a page.
-UNSEEN = "script style noscript template title textarea select option button iframe object svg math canvas audio video head".split()
+RAW = "script style noscript title textarea iframe".split()  # text up to their end tags, not markup
+SKIPPED = set("template select option button object svg math canvas audio video".split())
 BREAKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -27,6 +29,7 @@ BREAKS = set(
 HOLDERS = set("article aside details dialog div dl fieldset figure footer form header main menu nav ol section table ul body blockquote span".split())
 FRAME = set("nav header footer aside form menu dialog fieldset".split())
 MAIN = set("article main".split())
+OPTIONAL = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}  # start tags that end open ones
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 PART = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead"
@@ -36,9 +39,8 @@ PART = re.compile(
 )
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])", re.I)
 
-_RAW = "|".join(x for x in UNSEEN if x != "head")
 TOKENS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -64,15 +66,29 @@ def marks(attrs: str) -> tuple[bool, bool]:
     return part, content
 
 
+def ends_around(name: str, kind: str, around: set[str], inner: Counter) -> bool:
+    """Whether a start tag in a skipped element `kind` ends it, or one of the open elements `around` it, as HTML has it."""
+    if kind in ("svg", "math"):  # tags of HTML break out, but for the places where it may stand
+        return name in BREAKS | {"body", "span"} and not any(inner[x] > 0 for x in ("foreignobject", "desc", "annotation-xml", "mtext", "mi", "mo", "mn", "ms"))
+    if kind in ("object", "template"):
+        return False
+    if name in BREAKS and "p" in around and kind != "button":
+        return True
+    return name != "p" and bool(OPTIONAL.get(name, set()) & around)
+
+
 def blocks(page: str) -> list[tuple[str, tuple]]:
     """(text, own features) of the flat text blocks of a page, in order.
 
     Unclosed elements end with the element around them; a page cut short ends all. Character references
-    are decoded, white space is one space. Scripts, styles, markup and other unseen contents are skipped.
+    are decoded, white space is one space. Scripts, styles, markup and other unseen contents are skipped; an
+    unseen element that is not closed ends with the element around it too.
     """
     found: list[tuple[str, tuple]] = []
     # (name, in main, in a frame, in a named part, in named content)
     stack: list[tuple] = [("", False, False, False, False)]
+    around: list[set[str]] = [set()]  # open elements with optional end tags, for each of the stack
+    hidden, inner, open_ = 0, Counter(), Counter()  # place of the skipped element on the stack; other open elements in and around it
     parts: list[str] = []
     linked: list[str] = []
     in_link, prose, in_head = 0, False, False
@@ -90,7 +106,7 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
     for token in TOKENS.finditer(page):
         text = token["text"]
         if text is not None:
-            if not in_head:
+            if not in_head and not hidden:
                 parts.append(text)
                 if in_link:
                     linked.append(text)
@@ -99,6 +115,44 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         if name is None:
             continue
         name, end = name.lower(), bool(token["end"])
+        closed = not end and token["attrs"].rstrip().endswith("/")
+        if hidden:
+            place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0) if end else 0
+            if place >= hidden:
+                del stack[place:], around[place:]
+                hidden = hidden if place > hidden else 0
+                continue
+            if end:
+                leave = place > 0 or inner[name] <= 0 and open_[name] > 0 or name == "head"
+                inner[name] -= inner[name] > 0
+            else:
+                leave = name == "body" or not any(x[0] in HOLDERS for x in stack[hidden + 1 :]) and ends_around(name, stack[hidden][0], around[hidden - 1], inner)
+            if not leave:
+                if name == "option" and stack[-1][0] == "option" and not end and len(stack) > hidden + 1:
+                    continue  # ends the one before
+                if not end and not closed and (name in HOLDERS or name in SKIPPED):
+                    stack.append((name, *stack[-1][1:]))
+                    around.append(set())
+                elif not end and not closed and name not in VOID:
+                    inner[name] += 1
+                continue
+            del stack[hidden:], around[hidden:]
+            hidden = 0
+        if name in SKIPPED:
+            if not end and not (closed and name in ("svg", "math")):
+                hidden = len(stack)
+                stack.append((name, *stack[-1][1:]))
+                around.append(set())
+                inner.clear()
+            continue
+        if name not in HOLDERS and name not in VOID:
+            open_[name] += 1 - closed if not end else -(open_[name] > 0)
+        if name in BREAKS:
+            around[-1].discard("p")
+        if name in OPTIONAL:
+            around[-1] -= OPTIONAL[name]
+            if not end:
+                around[-1].add(name)
         if name == "head":
             in_head = not end
         elif name in ("body", "nav", "article", "main", "p", "div", "h1"):
@@ -119,8 +173,9 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
                 if depth:
                     if name != "span":
                         close()
-                    del stack[depth:]
-            elif not token["attrs"].rstrip().endswith("/"):
+                    del stack[depth:], around[depth:]
+            elif not closed:
+                around.append(set())
                 if name == "span" and not token["attrs"]:
                     stack.append((name, *stack[-1][1:]))
                     continue
