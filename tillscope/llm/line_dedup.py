@@ -1,8 +1,9 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 Each batch of documents becomes one run: its distinct line hashes, sorted, with the number of documents and
-the largest document id that hold the line. A batch is first merge-anti-joined with the runs, which tells
-new lines from known ones. When a level holds `fanout` runs, they are merged into one run of the next level,
+the largest document id that hold the line. `LineRuns.add` returns a merge anti-join of the batch with the
+earlier runs, which tells new lines from known ones, to callers that add batches; `dedup_lines` needs the counts
+of all lines and does not run it. When a level holds `fanout` runs, they are merged into one run of the next level,
 so that n batches are spread over a logarithmic number of runs.
 
 A line hash is two 64-bit hashes with different seeds, 128 bits together.
