@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillscope.llm import bit_packing, context_tree, decontaminate, exact_dedup, html_text, jaccard, line_dedup, packing, quality, token_counts
+from tillscope.llm import bit_packing, context_tree, decontaminate, exact_dedup, filter_audit, html_text, jaccard, line_dedup, packing, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_files": bit_packing.op10_token_files,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLES = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
