@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillscope.llm import bit_packing, context_tree, decontaminate, exact_dedup, filter_audit, html_text, jaccard, line_dedup, packing, quality, token_counts
+from tillscope.llm import bit_packing, chat_windows, context_tree, decontaminate, exact_dedup, filter_audit, html_text, jaccard, line_dedup, packing, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_files": bit_packing.op10_token_files,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_chat_windows": chat_windows.op12_chat_windows,
 }
 
 ORACLES = {
