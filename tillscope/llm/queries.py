@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillscope.llm import bit_packing, chat_windows, context_tree, decontaminate, exact_dedup, filter_audit, html_text, jaccard, line_dedup, packing, quality, token_counts
+from tillscope.llm import bit_packing, chat_windows, context_tree, decontaminate, exact_dedup, filter_audit, html_text, jaccard, lexical_search, line_dedup, packing, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_files": bit_packing.op10_token_files,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_chat_windows": chat_windows.op12_chat_windows,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
