@@ -19,7 +19,6 @@ SPARK_TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 #: Results without a given order, or with one that their SQL does not spell out.
 UNORDERED = {
     "units_by_product", "olap_slice_all", "olap_slice_category", "row_counts", "stock_distribution", "stock_distribution_low",
-    "quality_report", "rating_distribution", "inventory_status", "stock_by_category", "inventory_by_category", "olap_pivot",
 }
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -48,14 +49,36 @@ AMOUNT = "decimal(12,2)"
 # Wide enough for any sum of decimal(12,2) amounts, narrow enough to multiply exactly.
 MONEY_SUM = "decimal(32,2)"
 
+Table = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Star:
-    """The fact table and its two dimensions. All operators take one of these."""
+    """The fact table and its two dimensions. All operators take one of these.
+
+    A table may be given as a function that opens it; it is called when an operator first asks for the table.
+    """
 
-    sales: DataFrame
-    products: DataFrame
-    customers: DataFrame
+    def __init__(self, sales: Table, products: Table, customers: Table):
+        self._tables = {"sales": sales, "products": products, "customers": customers}
 
     def table(self, name: str) -> DataFrame:
-        return {"sales": self.sales, "products": self.products, "customers": self.customers}[name]
+        table = self._tables[name]
+        if callable(table) and not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
+
+    @property
+    def sales(self) -> DataFrame:
+        return self.table("sales")
+
+    @property
+    def products(self) -> DataFrame:
+        return self.table("products")
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.table("customers")
+
+    def replaced(self, **tables: Table) -> Star:
+        """This star with other tables under the given names; those that stay are not opened."""
+        return Star(**{**{name: partial(self.table, name) for name in self._tables}, **tables})

@@ -52,7 +52,7 @@ def active_customer_rating(star: Star, flt: SalesFilter) -> DataFrame:
     """One row: mean rating of the customers who bought in the period, each counted once."""
     buyers = sold_lines(star, flt, "customer_id").distinct()
     return average_rating(
-        Star(star.sales, star.products, star.customers.join(buyers, "customer_id", "left_semi"))
+        star.replaced(customers=star.customers.join(buyers, "customer_id", "left_semi"))
     )
 
 

@@ -178,7 +178,7 @@ def inventory_catalog(
 def _restock_scope(star: Star, flt: InventoryFilter, target: int) -> DataFrame:
     """Filtered products in the two urgent severities, which are exactly the attention band."""
     urgent = InventoryFilter(band=StockBand.ATTENTION).apply(star.products)
-    return inventory(Star(star.sales, urgent, star.customers), flt, target)
+    return inventory(star.replaced(products=urgent), flt, target)
 
 
 def restock_plan(

@@ -36,7 +36,7 @@ def dice(star: Star, category: str = ALL, month: str = ALL) -> DataFrame:
     """Revenue per category and calendar month, under any combination of the two filters."""
     sales = star.sales.where(conjunction(month_predicate(month)))
     totals = by_product(
-        Star(sales, star.products, star.customers),
+        star.replaced(sales=sales),
         [REVENUE],
         SalesFilter(category=category),
         by_month(),

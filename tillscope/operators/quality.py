@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.model import CONTRACTS, PRIMARY_KEYS, SALE_YEAR, Star
@@ -32,8 +34,8 @@ def _as_rows(one_row: DataFrame, table: str) -> DataFrame:
     )
 
 
-def _counters(table: str) -> list[Column]:
-    """Null counts of every contract column plus the table's domain rules; all in one aggregate."""
+def _rules(table: str) -> list[tuple[str, Column]]:
+    """Name and predicate of the table's domain rules and of the null test of every contract column."""
     rules = {
         "products": {"negative_stock": F.col("stock") < 0},
         "customers": {"rate_out_of_range": (F.col("rate") < 1) | (F.col("rate") > 5)},
@@ -43,7 +45,12 @@ def _counters(table: str) -> list[Column]:
         },
     }[table]
     nulls = {f"null_{c}": F.col(c).isNull() for c in CONTRACTS[table].fieldNames()}
-    return [F.count_if(rule).alias(name) for name, rule in {**rules, **nulls}.items()]
+    return [*rules.items(), *nulls.items()]
+
+
+def _counters(table: str) -> list[Column]:
+    """How many rows break each rule; all in one aggregate."""
+    return [F.count_if(rule).alias(name) for name, rule in _rules(table)]
 
 
 def duplicate_keys(star: Star, table: str) -> DataFrame:
@@ -91,44 +98,65 @@ def product_mismatches(star: Star) -> DataFrame:
     )
 
 
-def _sales_in_one_pass(star: Star) -> DataFrame:
-    """One row: all row-wise rules and both reference checks of sales, over small dimensions.
+def _one_pass(star: Star, counters: list[tuple[str, Column]]) -> DataFrame:
+    """One row: both reference checks of sales over small dimensions, and how many lines break each rule of `counters`.
 
-    Each key of a dimension is one row here, so that a duplicate key counts no line twice. A line is
-    held against every price of its product, as in `product_mismatches`.
+    A line meets each price row of its product, as in `product_mismatches`. Only the first of them counts the
+    line for what is not about prices.
     """
     customers = star.customers.select("customer_id", F.lit(True).alias("known_customer")).distinct()
     prices = star.products.groupBy("product_id").agg(F.collect_list("price").alias("prices"))
+    prices = prices.select("product_id", F.lit(True).alias("known_product"), F.posexplode_outer("prices").alias("place", "price"))
     lines = star.sales.join(F.broadcast(customers), "customer_id", "left")
     lines = lines.join(F.broadcast(prices), "product_id", "left")
-    amount, quantity = F.col("total_amount"), F.col("quantity")
-    wrong = F.size(F.filter("prices", lambda price: amount != quantity * price))
+    first = F.coalesce(F.col("place"), F.lit(0)) == 0
     return lines.agg(
-        *_counters("sales"),
-        F.count_if(F.col("known_customer").isNull()).alias("unknown_customer"),
-        F.count_if(F.col("prices").isNull()).alias("unknown_product"),
-        F.coalesce(F.sum(F.when(F.col("prices").isNotNull(), wrong)), F.lit(0)).alias(
+        *(F.count_if(first & rule).alias(name) for name, rule in counters),
+        F.count_if(first & F.col("known_customer").isNull()).alias("unknown_customer"),
+        F.count_if(F.col("known_product").isNull()).alias("unknown_product"),
+        F.count_if(F.col("total_amount") != F.col("quantity") * F.col("price")).alias(
             "amount_not_quantity_x_price"
         ),
     )
 
 
-def quality_report(star: Star) -> DataFrame:
+def watched(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """`df` with an observation of its row count and of all row-wise rules, filled by the job that writes it.
+
+    What is observed has to run in the stage that writes (above the last shuffle): there each task counts
+    once, also where an executor is lost and a task runs again.
+    """
+    seen = Observation(f"{table}-{uuid4().hex}")
+    return df.observe(seen, rows().alias("row_count"), *_counters(table)), seen
+
+
+def quality_report(star: Star, counted: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
     """One row per check with its number of violations; every one should be 0.
 
     Per table one aggregate holds all row-wise rules, without a shuffle. With small dimensions it also
     holds the reference checks, so that the fact is read twice: there, and for key uniqueness. With
     large ones each reference check is a join of its own.
+
+    `counted` has the row-wise counters of tables that `watched` has seen on their way into files. They are
+    not counted again: the files are then read for keys and references only.
     """
+    counted = counted or {}
+    spark = star.products.sparkSession
     parts = [_as_rows(duplicate_keys(star, table), table) for table in CONTRACTS]
-    parts += [
-        _as_rows(star.table(table).agg(*_counters(table)), table) for table in CONTRACTS if table != "sales"
-    ]
-    small = (star.customers.select("customer_id"), star.products.select("product_id", "price"))
+    for table in CONTRACTS:
+        if table in counted:
+            seen = [F.lit(counted[table][name]).cast("bigint").alias(name) for name, _ in _rules(table)]
+            parts.append(_as_rows(spark.range(1).select(*seen), table))
+        elif table != "sales":
+            parts.append(_as_rows(star.table(table).agg(*_counters(table)), table))
+    own = [] if "sales" in counted else _rules("sales")
+    # The very columns that a broadcast would hold, of all rows.
+    small = (star.customers.select("customer_id", F.lit(True)), star.products.select("product_id", "price", F.lit(0), F.lit(True)))
     if all(map(fits_broadcast, small)):
-        parts.append(_as_rows(_sales_in_one_pass(star), "sales"))
+        parts.append(_as_rows(_one_pass(star, own), "sales"))
     else:
-        parts.append(_as_rows(star.sales.agg(*_counters("sales")), "sales"))
+        if own:
+            parts.append(_as_rows(star.sales.agg(*_counters("sales")), "sales"))
         parts.append(_as_rows(orphan_customers(star), "sales"))
         parts.append(_as_rows(product_mismatches(star), "sales"))
     return reduce(DataFrame.unionByName, parts).orderBy("table_name", "check")

@@ -424,7 +424,7 @@ BODIES: dict[str, str] = {
     SELECT {_mean('rate')} AS avg_rating FROM customers
     WHERE customer_id IN (SELECT customer_id FROM fact_1997 WHERE category = 'SMALL')""",
     "rating_distribution": """
-    SELECT CAST(rate AS DOUBLE) AS rate, COUNT(*) AS total FROM customers GROUP BY ALL""",
+    SELECT CAST(rate AS DOUBLE) AS rate, COUNT(*) AS total FROM customers GROUP BY ALL ORDER BY rate""",
     "top_customers": f"""
     SELECT customer_name, {REVENUE} AS total_spent
     FROM sales JOIN customers USING (customer_id)
@@ -438,7 +438,7 @@ BODIES: dict[str, str] = {
     "recent_sales": f"""
     SELECT sale_id, {_iso("sale_date")} AS sale_date, CAST(total_amount AS DOUBLE) AS total_amount
     FROM sales ORDER BY sales.sale_date DESC, sale_id, sales.total_amount LIMIT 10""",
-    "inventory_status": f"SELECT {_STATUS} AS status, COUNT(*) AS total FROM products GROUP BY ALL",
+    "inventory_status": f"SELECT {_STATUS} AS status, COUNT(*) AS total FROM products GROUP BY ALL ORDER BY total DESC, status",
     "inventory_bands": f"""
     SELECT out_of_stock, low_stock, in_stock, skus AS total_products FROM ({_bands('TRUE')})""",
     "low_stock_count": "SELECT COUNT(*) AS low_stock FROM products WHERE stock <= 10",
@@ -447,10 +447,12 @@ BODIES: dict[str, str] = {
     FROM products WHERE stock <= 10 ORDER BY stock, product_name, product_id""",
     "urgent_stock": _URGENT,
     "stock_by_category": """
-    SELECT category, CAST(COALESCE(SUM(stock), 0) AS BIGINT) AS stock FROM products GROUP BY category""",
+    SELECT category, CAST(COALESCE(SUM(stock), 0) AS BIGINT) AS stock FROM products GROUP BY category
+    ORDER BY category""",
     "inventory_by_category": """
     SELECT category, CAST(SUM(stock) AS BIGINT) AS total_stock, COUNT(product_id) AS sku_count
-    FROM products WHERE contains(lower(product_name), 'gear') GROUP BY category""",
+    FROM products WHERE contains(lower(product_name), 'gear') GROUP BY category
+    ORDER BY total_stock DESC, category""",
     "inventory_catalog": _catalog(),
     "inventory_search": _catalog("regexp_matches(lower(product_name), 'gear|^red') AND stock <= 10"),
     "inventory_out": _catalog("stock = 0"),
@@ -476,7 +478,7 @@ BODIES: dict[str, str] = {
     "olap_dice_all": _dice("TRUE"),
     "olap_dice_month": _dice(f"{MONTH_NAME} = 'March'"),
     "olap_dice_category": _dice("category = 'SMALL'"),
-    "olap_pivot": f"SELECT category, {_PIVOT_MONTHS} FROM fact GROUP BY category",
+    "olap_pivot": f"SELECT category, {_PIVOT_MONTHS} FROM fact GROUP BY category ORDER BY category",
     "executive_insights": _insights(_EXECUTIVE),
     "executive_insights_no_prior": _insights(_EXECUTIVE_1995),
     "executive_insight_texts": _texts(_EXECUTIVE),
@@ -491,7 +493,8 @@ BODIES: dict[str, str] = {
     SELECT 'products' AS table_name, COUNT(*) AS row_count FROM products
     UNION ALL SELECT 'customers', COUNT(*) FROM customers
     UNION ALL SELECT 'sales', COUNT(*) FROM sales""",
-    "quality_report": f"SELECT * FROM (\n    {_QUALITY}\n    )",
+    "quality_report": f"SELECT * FROM (\n    {_QUALITY}\n    ) ORDER BY table_name, \"check\"",
+    "gated_write": f"SELECT * FROM (\n    {_QUALITY}\n    ) ORDER BY table_name, \"check\"",
     "category_view": f"""
     SELECT category AS "Category", {_rupees('revenue')} AS "Revenue",
            format('{{:.1f}}', share_pct) || '%' AS "% of Total"

@@ -28,6 +28,7 @@ from tillscope.operators import (
     views,
 )
 from tillscope.sources.order_tables import load_order_tables
+from tillscope.sources.refresh import gated_write
 
 CATEGORY = "SMALL"
 MONTH = "March"
@@ -149,6 +150,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # data quality
     "row_counts": quality.row_counts,
     "quality_report": quality.quality_report,
+    "gated_write": gated_write,
     # report views and exports
     "category_view": lambda s: views.category_view(s, YEAR_1997),
     "top_products_view": lambda s: views.top_products_view(s, YEAR_1997),

@@ -10,6 +10,7 @@ The tables have no stock, rating or decimal money, so those columns are defined
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,26 +38,32 @@ def _money(amount: Column, type_: str) -> Column:
     return (hundredths * F.lit(Decimal("0.01"))).cast(type_)
 
 
-def load_order_tables(spark: SparkSession, path: str) -> Star:
-    products = _read(spark, path, "part", PART).select(
+def _products(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, "part", PART).select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
         _money(F.col("p_retailprice"), "decimal(10,2)").alias("price"),
         (F.col("p_size") - 1).alias("stock"),
     )
+
+
+def _customers(spark: SparkSession, path: str) -> DataFrame:
     tenths = (F.col("c_custkey") % 41 + 10).cast("decimal(3,0)")
-    customers = _read(spark, path, "customer", CUSTOMER).select(
+    return _read(spark, path, "customer", CUSTOMER).select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         (tenths * F.lit(Decimal("0.1"))).cast("decimal(3,2)").alias("rate"),
     )
+
+
+def _sales(spark: SparkSession, path: str) -> DataFrame:
     lines = _read(spark, path, "lineitem", LINEITEM)
     # Dates are cut once per order, before the join multiplies them; date filters still reach the scan.
     orders = _read(spark, path, "orders", ORDERS).select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("sale_date")
     )
-    sales = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
         F.col("l_orderkey").alias("sale_id"),
         "sale_date",
         F.col("o_custkey").alias("customer_id"),
@@ -64,4 +71,8 @@ def load_order_tables(spark: SparkSession, path: str) -> Star:
         F.col("l_quantity").cast("int").alias("quantity"),
         _money(F.col("l_extendedprice"), "decimal(12,2)").alias("total_amount"),
     )
-    return Star(sales, products, customers)
+
+
+def load_order_tables(spark: SparkSession, path: str) -> Star:
+    """The star over a folder of order tables. A table is opened when it is first asked for."""
+    return Star(*(partial(open_, spark, path) for open_ in (_sales, _products, _customers)))

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.model import SALE_YEAR, Star
-from tillscope.operators.quality import assert_quality, quality_report
+from tillscope.operators.quality import assert_quality, quality_report, watched
+from tillscope.sources.scratch import working_folder
 from tillscope.sources.stars import load_star
 
 COMMITS = "version string, committed_at timestamp"
@@ -28,20 +29,26 @@ COMMITS = "version string, committed_at timestamp"
 
 def _by_year(sales: DataFrame) -> DataFrame:
     """Rows gathered by year for writing. The rebalance hint lets adaptive execution split a year
-    that is too big for one task and merge years that are small; files are sorted by date, so that
-    their statistics prune date ranges inside a year."""
-    return (
-        sales.withColumn(SALE_YEAR, F.year("sale_date"))
-        .hint("rebalance", F.col(SALE_YEAR))
-        .sortWithinPartitions(SALE_YEAR, "sale_date")
-    )
+    that is too big for one task and merge years that are small."""
+    return sales.withColumn(SALE_YEAR, F.year("sale_date")).hint("rebalance", F.col(SALE_YEAR))
+
 
+def write_star(star: Star, path: str) -> dict[str, dict[str, int]]:
+    """Write a star as Parquet folders; sales partitioned by year, its files sorted by date, so that their
+    statistics prune date ranges inside a year.
 
-def write_star(star: Star, path: str) -> None:
-    """Write a star as Parquet folders; sales partitioned by year."""
-    star.products.write.mode("errorifexists").parquet(f"{path}/products")
-    star.customers.write.mode("errorifexists").parquet(f"{path}/customers")
-    _by_year(star.sales).write.mode("errorifexists").partitionBy(SALE_YEAR).parquet(f"{path}/sales")
+    Returns per table what the writing tasks counted on the way: its rows, and those that break each row-wise
+    rule of the quality report.
+    """
+    seen = {}
+    for table in ("products", "customers", "sales"):
+        rows = star.table(table)
+        rows, seen[table] = watched(_by_year(rows) if table == "sales" else rows, table)
+        if table == "sales":
+            rows = rows.sortWithinPartitions(SALE_YEAR, "sale_date")
+        writer = rows.write.mode("errorifexists")
+        (writer.partitionBy(SALE_YEAR) if table == "sales" else writer).parquet(f"{path}/{table}")
+    return {table: dict(observation.get) for table, observation in seen.items()}
 
 
 def ingest_star(
@@ -49,13 +56,14 @@ def ingest_star(
 ) -> Star:
     """Replace the star under `target` with the CSV tables under `source`.
 
-    The CSV is parsed once; the checks run on the written Parquet. Checks named in `allowed` may fail.
+    The CSV is parsed once. Row-wise checks run inside the write; the written Parquet is read only for key
+    uniqueness and references. Checks named in `allowed` may fail.
     """
     version = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid4().hex[:8]}"
     path = f"{target}/versions/{version}"
-    write_star(load_star(spark, source, "csv"), path)
+    counted = write_star(load_star(spark, source, "csv"), path)
     written = load_star(spark, path)
-    assert_quality(quality_report(written), allowed)
+    assert_quality(quality_report(written, counted), allowed)
     commit = spark.range(1).select(
         F.lit(version).alias("version"), F.current_timestamp().alias("committed_at")
     )
@@ -63,6 +71,14 @@ def ingest_star(
     return written
 
 
+def gated_write(star: Star, path: str | None = None) -> DataFrame:
+    """Write a star to `path` (default: a new working folder) and report on it as a refresh does before it commits."""
+    spark = star.products.sparkSession
+    path = path or working_folder(spark, "star")
+    counted = write_star(star, path)
+    return quality_report(load_star(spark, path), counted)
+
+
 def current_version(spark: SparkSession, target: str) -> str:
     """The version committed last. Version ids start with their time, so ties cannot arise."""
     try:
