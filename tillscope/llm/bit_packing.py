@@ -35,6 +35,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each id, lowest first, one id after the other."""
+    if width in (8, 16, 32):  # whole bytes
+        return ids.astype(f"<u{width // 8}").tobytes()
     parts = []
     for start in range(0, len(ids), STEP):  # STEP ids end on a byte
         part = ids[start : start + STEP].astype("<u4", copy=False)
@@ -64,6 +66,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, block
     Each document is the ids of its whole text and the id `end`; null text counts as empty. Shards are
     ranges of doc_id in ascending order; a null id comes first, and rows that repeat an id follow each other
     by a hash of their text. A block holds whole documents, `block_ids` ids or one longer document.
+    Only doc_id and text are read, so further columns of any name do no harm; texts may be of any length.
     """
 
     def blocks(batches):
@@ -119,7 +122,8 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
     def decoded(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for place in range(len(batch)):  # one payload at a time
+                row = {name: batch.column(name)[place].as_py() for name in batch.schema.names}
                 ids = unpack_bits(row["payload"], row["width"], 0, row["n_ids"]).tobytes()
                 ends = np.cumsum(row["lengths"], dtype=np.int64)
                 starts = ends - np.array(row["lengths"], np.int64)
