@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import plain_tree
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -52,7 +54,7 @@ def rows(docs):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         got = queries.QUERIES[name](spark, SMALL)
@@ -170,26 +172,51 @@ def test_decontamination(spark, docs, none):
 
 
 def test_line_dedup(docs, none):
-    got = {(r.doc_id, r.row.text): r for r in line_dedup.dedup_lines(docs).collect()}
-    assert len(got) == len({*rows(docs)})
+    got = [(r.doc_id, r.row.text, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs).collect()]
+    want = []
     for doc_id, text in rows(docs):
         lines = (text or "").split("\n")
         kept = [x for x in lines if x.strip(" \t\n\x0b\x0c\r").lower() != LINE or doc_id == 16]
-        r = got[doc_id, text]
-        assert (r.n_lines, r.n_dropped, r.kept_text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
+        want.append((doc_id, text, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    assert Counter(got) == Counter(want)  # rows that repeat come out as often as they went in
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    texts = [(1, f"{LINE}\nown")] * 3 + [(k, LINE) for k in range(2, 6)] + [(6, None), (6, None), (None, LINE), (5, f"{LINE}\nother")]
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    got = Counter((r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == Counter({(1, "own"): 3, (2, ""): 1, (3, ""): 1, (4, ""): 1, (5, LINE): 1, (5, f"{LINE}\nother"): 1, (6, ""): 2, (None, ""): 1})
+
+
 def test_line_runs_compact_and_tell_new_lines(spark):
-    runs = line_dedup.LineRuns(spark, scratch(spark, "runs"), fanout=2)
+    runs = line_dedup.LineRuns(spark, scratch(spark, "runs"), fanout=2, buckets=4)
     batch = lambda *keys: spark.createDataFrame([(d, h, h) for d, h in keys], "doc_id BIGINT, h1 BIGINT, h2 BIGINT")
-    assert runs.add(batch((1, 10), (1, 10), (2, 11))).count() == 2
+    assert {r.h1: r.n_docs for r in runs.add(batch((1, 10), (1, 10), (2, 11))).collect()} == {10: 1, 11: 1}
     assert {r.h1 for r in runs.add(batch((3, 10), (4, 12))).collect()} == {12}
-    assert [len(level) for level in runs.levels] == [0, 1]
+    assert [len(level) for level in runs.levels["runs"]] == [0, 1] and [len(level) for level in runs.levels["updates"]] == [1]
     runs.save()
     again = line_dedup.LineRuns(spark, runs.location, fanout=2)
-    assert again.add(batch((5, 11), (9, 10))).count() == 0
+    assert again.buckets == 4 and again.add(batch((5, 11), (9, 10))).count() == 0
     assert {r.h1: (r.n_docs, r.last_id) for r in again.totals().collect()} == {10: (3, 9), 11: (2, 5), 12: (1, 4)}
+    held = [r.h1 for run in again.held("runs") for r in run.collect()]
+    assert sorted(held) == [10, 11, 12]  # each line in one run
+    again.save()  # two commits within a second are told apart
+    assert {r.h1: r.n_docs for r in line_dedup.LineRuns(spark, runs.location, fanout=2).totals().collect()} == {10: 3, 11: 2, 12: 1}
+    runs.discard()
+    again.discard()
+
+
+def test_line_runs_are_merged_without_moving_them(spark):
+    runs = line_dedup.LineRuns(spark, scratch(spark, "runs"), buckets=4)
+    batch = lambda low: spark.range(low, low + 2000).selectExpr("id AS doc_id", "id % 3001 AS h1", "id % 3001 AS h2")
+    for k in range(3):
+        runs.add(batch(k * 1500))
+    counted = runs._read(runs._write("batches", batch(0).selectExpr("h1", "h2", "1L AS n_docs", "doc_id AS last_id")))
+    text = runs.fresh(counted)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SortMergeJoin [h1") == 3 == text.count("LeftAnti") and "Exchange" not in text
+    assert runs.totals().count() == 3001
+    runs.discard()
 
 
 def test_context_tree(docs, none):
@@ -210,31 +237,61 @@ def test_context_tree(docs, none):
 def test_context_tree_is_a_probability_and_ctw():
     text = b"abracadabra abracadabra \n"
     grams = [Counter(int.from_bytes(text[i - n + 1 : i + 1], "big") for i in range(n - 1, len(text))) for n in (1, 2, 3)]
-    tree = context_tree.grow([context_tree.summed(np.array([*g], np.uint64), np.array([*g.values()])) for g in grams])
+    tree = plain_tree.grow([context_tree.summed(np.array([*g], np.uint64), np.array([*g.values()])) for g in grams])
     for context in (b"ab", b"zz", b"za", b"\n\n"):
         keys = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
         assert abs((10 ** tree.log10(keys)).sum() - 1) < 1e-9
         assert np.allclose(tree.log10(keys), tree.bits(keys))
-    root = context_tree.grow([context_tree.summed(np.array([97, 98], np.uint64), np.array([3, 1]))])
+    root = plain_tree.grow([context_tree.summed(np.array([97, 98], np.uint64), np.array([3, 1]))])
     # Six common bits, the one that tells a from b, and a's last, by Krichevsky-Trofimov.
     assert math.isclose(10 ** root.log10(np.array([97], np.uint64))[0], (4.5 / 5) ** 6 * (3.5 / 5) * (3.5 / 4), rel_tol=1e-9)
 
 
 @pytest.mark.parametrize(("depth", "most"), [(3, 4), (3, 1 << 20), (0, 2), (2, 0)])
 def test_context_tree_is_whole_whatever_is_kept_in_tasks(docs, depth, most):
-    data = lambda t: context_tree.stream(context_tree.words_of(t))
+    data = lambda t: plain_tree.stream(plain_tree.words_of(t))
     cut = lambda x, n: [int.from_bytes(x[i - n + 1 : i + 1], "big") for i in range(depth, len(x))]
     keys_of = lambda t, n: cut(b"\n" * depth + data(t), n)
     every = rows(docs)
     learnt = [t for i, t in every if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     counts = [Counter(k for t in learnt for k in keys_of(t, n)) for n in range(1, depth + 2)]
-    tree = context_tree.grow([context_tree.summed(np.array([*c], np.uint64), np.array([*c.values()])) for c in counts])
+    tree = plain_tree.grow([context_tree.summed(np.array([*c], np.uint64), np.array([*c.values()])) for c in counts])
     want = [tree.bits(np.array(keys_of(t, depth + 1), np.uint64)).sum() for _, t in every]
     got = context_tree.score(docs, depth=depth, most=most).collect()
     assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-9)
     assert np.allclose(sorted(r.bits_per_byte for r in got), sorted(-w / math.log10(2) / len(data(t)) for w, (_, t) in zip(want, every, strict=True)), rtol=1e-9)
 
 
+def test_context_tree_cuts_texts_anywhere(monkeypatch):
+    texts = [None, "", " \t\x0b\x0c", "One  two\nÉté\x1cx", " \u00a0 \u2003y ", "ABC abc", "z" * 50]
+    want = [plain_tree.stream(plain_tree.words_of(t)) for t in texts]
+    for depth, step in ((5, 7), (5, 1), (0, 3), (3, 1 << 20)):
+        monkeypatch.setattr(context_tree, "STEP", step)
+        words, n, data, begin = context_tree.prepared(pa.array(["not this", *texts]).slice(1), depth)
+        assert words.to_pylist() == [w for t in texts for w in plain_tree.words_of(t)] and n.tolist() == [len(plain_tree.words_of(t)) for t in texts]
+        found = list(context_tree.grams(data, begin, depth))
+        padded = [b"\n" * depth + w for w in want]
+        assert [k for keys, _ in found for k in keys.tolist()] == [int.from_bytes(p[i : i + depth + 1], "big") for p in padded for i in range(len(p) - depth)]
+        assert sum(n for _, n in found).tolist() == list(map(len, want))
+        assert all(len(keys) == n.sum() for keys, n in found)
+
+
+def test_context_tree_of_a_long_text_at_full_depth(spark):
+    long_ = " ".join(f"w{i % 1009}" for i in range(1_000_000))  # longer than what is keyed at a time
+    rows_ = [(1, long_), (2, "w1 w2 unseen"), (3, None), (4, long_[:5000])]
+    docs = stored(spark.createDataFrame(rows_, "doc_id BIGINT, text STRING"), "long")
+    data = [plain_tree.stream(plain_tree.words_of(t)) for _, t in rows_]
+    assert len(data[0]) > context_tree.STEP
+    learnt = [d for (i, _), d in zip(rows_, data, strict=True) if zlib.crc32(str(i).encode()) % 5 != 1]
+    keys_of = lambda d, n: [int.from_bytes(p[i - n + 1 : i + 1], "big") for p in (b"\n" * 5 + d,) for i in range(5, len(p))]
+    counts = [Counter(k for d in learnt for k in keys_of(d, n)) for n in range(1, 7)]
+    tree = plain_tree.grow([context_tree.summed(np.array([*c], np.uint64), np.array([*c.values()])) for c in counts])
+    want = [tree.bits(np.array(keys_of(d, 6), np.uint64)).sum() for d in data]
+    got = {r.doc_id: r for r in context_tree.score(docs).collect()}
+    assert np.allclose([got[i].score for i, _ in rows_], want, rtol=1e-9)
+    assert np.allclose([got[i].bits_per_byte for i, _ in rows_], [-w / math.log10(2) / len(d) for w, d in zip(want, data, strict=True)], rtol=1e-9)
+
+
 def test_context_tree_without_training_rows(docs):
     got = context_tree.score(docs.where("doc_id IS NOT NULL"), folds=1, held=0, depth=2).collect()
     assert got and all(math.isclose(r.bits_per_byte, 8) and r.n_known == 0 for r in got)
@@ -280,8 +337,8 @@ def test_html_skips_unseen_elements_and_no_more(inside, want):
 
 def links(docs, threshold=0.8):
     known = [(i, t, {*jaccard.shingles(t).tolist()}) for i, t in docs if i is not None]
-    near = lambda a, b: bool(a) and bool(b) and len(a & b) >= threshold * len(a | b)
-    edges = [[k for k, b in enumerate(known) if k != j and near(a[2], b[2])] for j, a in enumerate(known)]
+    near = lambda a, b: len(a[2] & b[2]) >= threshold * len(a[2] | b[2]) if a[2] and b[2] else (a[1] or "") == (b[1] or "")
+    edges = [[k for k, b in enumerate(known) if k != j and near(a, b)] for j, a in enumerate(known)]
     root = list(range(len(known)))
     for _ in known:
         root = [min([root[j], *(root[k] for k in edges[j])]) for j in range(len(known))]
@@ -289,17 +346,45 @@ def links(docs, threshold=0.8):
     return sorted((known[j][0], name[root[j]], len(edges[j])) for j in range(len(known)))
 
 
-@pytest.mark.parametrize("most", [1024, 4])
-def test_jaccard_join(spark, docs, none, most):
+@pytest.mark.parametrize(("most", "shingles"), [(1024, 1 << 21), (4, 1 << 21), (1024, 400)])
+def test_jaccard_join(spark, docs, none, most, shingles):
     near = [(100 + k, " ".join(w if i != 7 * k else f"new{k}" for i, w in enumerate(BASE.split()))) for k in range(12)]
     every = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id BIGINT, text STRING"))
-    got = jaccard.jaccard_join(stored(every, "near"), most=most).collect()
+    got = jaccard.jaccard_join(stored(every, "near"), most=most, most_shingles=shingles).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got if r.doc_id is not None) == links(rows(every))
     assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(None, 0)]
     if most == 4:
         assert jaccard.jaccard_join(none).count() == 0
 
 
+def test_jaccard_join_is_the_same_in_units_of_any_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [sorted(map(repr, jaccard.jaccard_join(docs, most=most).drop("sig").collect())) for most in (1024, 64, 4)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
+
+
+def test_jaccard_join_recall_on_all_pairs(spark):
+    """At a low recall some links are missed, about as many as asked for; at the one in use next to none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(f"SELECT sum(n_links) FROM ({jaccard.OP8_SQL})").fetchall()[0][0]
+    found = sum(r.n_links for r in jaccard.jaccard_join(docs).collect())
+    assert 0.999 * want <= found <= want and want > 100
+
+
+def test_one_of_each_keeps_one_wordless_text(spark):
+    texts = [None, "", "!!", "!!", "", None, "? ?", "one", "one", "One"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "")], "doc_id BIGINT, text STRING")
+    assert sorted((r.doc_id is not None, r.doc_id) for r in jaccard.one_of_each(docs).collect()) == [(False, None), (True, 0), (True, 2), (True, 6), (True, 7)]
+
+
+def test_components_of_a_hub(spark):
+    links = spark.range(1, 3000).selectExpr("id AS a", "0L AS b").union(spark.createDataFrame([(5000, 2999), (7000, 7001)], "a BIGINT, b BIGINT"))
+    found = {r.node: r.root for r in jaccard.components(links, "hub").collect()}
+    assert found == {**dict.fromkeys(range(1, 3000), 0), 5000: 0, 7001: 7000}
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(90, 91)], "a BIGINT, b BIGINT")
     assert {r.node: r.root for r in jaccard.components(chain, "chain").collect()} == {**dict.fromkeys(range(1, 41), 0), 91: 90}

@@ -15,15 +15,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.llm.encoding import slices
 from tillscope.llm.shared import in_fold, ship, stored, table
 
 END = 10
@@ -31,60 +31,65 @@ END = 10
 STEP = 1 << 20
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, as bytes; both methods know ASCII only."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def stream(words: list[bytes]) -> bytes:
-    return b"".join((b" ".join(words), b" \n" if words else b"\n"))
-
-
-def chunks(texts, depth: int):
-    """(bytes with `depth` end bytes before each text, index of the text of each byte or -1) of bounded size."""
-    pad = bytes([END]) * depth
-    held, owners, size = [], [], 0
-    for i, data in texts:
-        for start in range(0, len(data), STEP):  # a very long text in parts, each after its last bytes
-            held.append((pad + data[:start])[-depth:] if depth else b"")
-            part = data[start : start + STEP]
-            held.append(part)
-            owners.append((i, len(part)))
-            size += len(part)
-            if size >= STEP:
-                yield joined(held, owners, depth)
-                held, owners, size = [], [], 0
-    if owners:
-        yield joined(held, owners, depth)
-
-
-def joined(held: list[bytes], owners: list[tuple[int, int]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(held), np.uint8)
-    owner = np.concatenate([np.r_[np.full(depth, -1), np.full(n, i)] for i, n in owners])
-    return data, owner
-
-
-def grams(data: np.ndarray, owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key of the depth + 1 bytes that end at each byte of a text, and the text's index."""
-    at = np.flatnonzero(owner >= 0)
-    key = np.zeros(len(at), np.uint64)
-    for k in range(depth, -1, -1):
-        key = key << np.uint64(8) | data[at - k]
-    return key, owner[at]
+def prepared(texts: pa.Array, depth: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words [^\\x20\\x09-\\x0D]+ of texts with A-Z in lower case (as bytes) and how many each text has; the texts as bytes, each
+    with `depth` end bytes before it, and where each begins there. These kernels know ASCII only."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts, ""))))
+    words, n = split.flatten().cast(pa.binary()), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = pc.binary_join(split, " ")
+    blank = pc.equal(joined, "")
+    n[blank.to_numpy(zero_copy_only=False)] = 0
+    data = pc.binary_join_element_wise(pa.scalar(chr(END) * depth), joined, pc.if_else(blank, chr(END), " " + chr(END)), "")
+    begin = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset).astype(np.int64)
+    return words.filter(pc.greater(pc.binary_length(words), 0)), n, np.frombuffer(data.buffers()[2], np.uint8), begin
+
+
+def grams(data: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The keys of the depth + 1 bytes that end at each byte of the texts, and how many of them each text has; STEP bytes at a time."""
+    for low in range(depth, int(begin[-1]), STEP):
+        high = min(low + STEP, int(begin[-1]))
+        key = np.zeros(high - low, np.uint64)
+        for k in range(depth, -1, -1):
+            key <<= np.uint64(8)
+            key |= data[low - k : high - k]
+        keep = np.ones(high - low, bool)
+        for k in range(depth):  # the end bytes before each text
+            at = begin[:-1] + k - low
+            keep[at[(at >= 0) & (at < high - low)]] = False
+        yield key[keep].view(np.int64), np.maximum(0, np.minimum(begin[1:], high) - np.maximum(begin[:-1] + depth, low))
+
+
+def per_text(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of n values each."""
+    out = np.zeros(len(n))
+    if len(values):
+        out[n > 0] = np.add.reduceat(values, (np.cumsum(n) - n)[n > 0])
+    return out
+
+
+def as_lists(values: pa.Array, keep: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Runs of n values each as lists of those to keep."""
+    before = np.concatenate([[0], np.cumsum(keep)])
+    offsets = before[np.concatenate([[0], np.cumsum(n)])]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values.filter(pa.array(keep)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of `docs` (text)."""
 
+    def told(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
     def counted(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(words_of(text.as_py()))
+            for start, length in slices(batch.column("text"), 2 * STEP):
+                found = prepared(batch.column("text").slice(start, length), 0)[0].value_counts()
+                counts.update(dict(zip(found.field("values").to_numpy(zero_copy_only=False).tolist(), found.field("counts").to_pylist(), strict=True)))
                 if len(counts) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                    yield told(counts)
                     counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        yield told(counts)
 
     return docs.mapInArrow(counted, "word BINARY, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -92,16 +97,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(key, n) of each gram of depth + 1 bytes over all rows of `docs` (text)."""
 
+    def told(found: list[pa.StructArray]) -> pa.RecordBatch:
+        keys, counts = (np.concatenate([np.empty(0, np.int64), *(f.field(name).to_numpy() for f in found)]) for name in ("values", "counts"))
+        return pa.RecordBatch.from_arrays(list(map(pa.array, summed(keys, counts))), ["key", "n"])
+
     def counted(batches):
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        texts = ((0, stream(words_of(t.as_py()))) for t in chain.from_iterable(b.column("text") for b in batches))
-        for data, owner in chunks(texts, depth):
-            found, n = np.unique(grams(data, owner, depth)[0], return_counts=True)
-            keys, counts = summed(np.concatenate([keys, found]), np.concatenate([counts, n]))
-            if len(keys) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
-                keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+        held: list[pa.StructArray] = []
+        for batch in batches:
+            for start, length in slices(batch.column("text"), 2 * STEP):
+                _, _, data, begin = prepared(batch.column("text").slice(start, length), depth)
+                for keys, _ in grams(data, begin, depth):
+                    held.append(pa.array(keys).value_counts())
+                    if sum(map(len, held)) > 1_000_000:
+                        yield told(held)
+                        held = []
+        yield told(held)
 
     return docs.mapInArrow(counted, "key BIGINT, n BIGINT").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -165,99 +175,6 @@ def bit_nodes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return found[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
-@dataclass
-class Tree:
-    """The frozen mixture in memory, which the tests hold the tables against: per depth, sorted grams with log10 of their byte's probability, and sorted bit nodes
-    (context, then the byte's first bits after a leading one) with the probability of a one."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    nodes: list[tuple[np.ndarray, np.ndarray]]
-
-    @property
-    def depth(self) -> int:
-        return len(self.nodes) - 1
-
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last byte of each key, bit by bit, each by its deepest known context."""
-        total, symbol = np.zeros(len(keys)), keys & np.uint64(255)
-        for k in range(8):
-            prefix = np.uint64(1 << k) | symbol >> np.uint64(8 - k)
-            one = np.full(len(keys), 0.5)
-            open_ = np.arange(len(keys))
-            for d in range(self.depth, -1, -1):
-                known, p = self.nodes[d]
-                if not len(known) or not len(open_):
-                    continue
-                context = keys[open_] >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)
-                node = context << np.uint64(8) | prefix[open_]
-                at = np.minimum(np.searchsorted(known, node), len(known) - 1)
-                hit = known[at] == node
-                one[open_[hit]] = p[at[hit]]
-                open_ = open_[~hit]
-            bit = (symbol >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(bit, one, 1 - one))
-        return total
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        known, value = self.grams[self.depth]
-        if not len(known):
-            return self.bits(keys)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        out = value[at]
-        rare = np.flatnonzero(known[at] != keys)
-        if len(rare):
-            distinct, back = np.unique(keys[rare], return_inverse=True)
-            out[rare] = self.bits(distinct)[back]
-        return out
-
-
-def grow(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """The mixture from the counts of grams of 1, 2, ... bytes."""
-    nodes = []
-    for keys, n in counts:
-        node, zeros, ones = bit_nodes(keys, n)
-        nodes.append((node, zeros.astype(float), ones.astype(float)))
-    depth = len(nodes) - 1
-    parents: list[np.ndarray] = [np.empty(0, int)]
-    for d in range(1, depth + 1):
-        shorter = nodes[d][0] & np.uint64((1 << 8 * d) - 1)
-        at = np.minimum(np.searchsorted(nodes[d - 1][0], shorter), max(len(nodes[d - 1][0]) - 1, 0))
-        parents.append(np.where(nodes[d - 1][0][at] == shorter, at, -1) if len(nodes[d - 1][0]) else np.full(len(shorter), -1))
-    # From the leaves: the weight of a node's own estimate against that of its children.
-    own: list[np.ndarray] = [np.empty(0)] * (depth + 1)
-    below = None
-    for d in range(depth, -1, -1):
-        _, a, b = nodes[d]
-        estimate = kt(a, b)
-        if d == depth:
-            own[d], mixed = np.ones(len(a)), estimate
-        else:
-            fit = parents[d + 1] >= 0
-            at = parents[d + 1][fit]
-            add = lambda v: np.bincount(at, v[fit], len(a)) if len(a) else np.zeros(0)
-            children, left_a, left_b = add(below), a - add(nodes[d + 1][1]), b - add(nodes[d + 1][2])
-            inner = np.bincount(at, minlength=len(a)) > 0
-            # What dropped children held is coded here.
-            split = children + kt(np.maximum(left_a, 0), np.maximum(left_b, 0))
-            mixed = np.where(inner, np.logaddexp(estimate, split) - np.log(2), estimate)
-            own[d] = np.where(inner, np.exp(estimate - np.log(2) - mixed), 1.0)
-        below = mixed
-    # From the root: what the shorter contexts put in, and what they leave to the longer ones.
-    final, put, left = [], None, None
-    for d, (found, a, b) in enumerate(nodes):
-        one = (b + 0.5) / (a + b + 1)
-        if d == 0:
-            before, rest = np.zeros(len(found)), np.ones(len(found))
-        else:
-            known = parents[d] >= 0
-            before, rest = np.where(known, put[parents[d]], 0.0), np.where(known, left[parents[d]], 1.0)
-        final.append((found, before + rest * one))
-        put, left = before + rest * own[d] * one, rest * (1 - own[d])
-    tree = Tree([], final)
-    tree.grams = [(counts[d][0], Tree([], final[: d + 1]).bits(counts[d][0])) for d in range(depth + 1)]
-    return tree
-
-
 def whole(batches: Iterator[pa.RecordBatch], first: str) -> Iterator[dict[str, np.ndarray]]:
     """The columns of rows that are sorted by `first` and dealt by its context, all rows of a context together."""
     held: dict[str, np.ndarray] = {}
@@ -378,41 +295,36 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most:
     end = float(np.log10(ends + 0.5))
 
     def scored(batches):
-        (frequent_, value), table_, serial = cache.value, known.value, TaskContext.get().partitionId() << 33
+        (frequent_, value), get, serial = cache.value, known.value.get, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for start in range(0, len(batch), 1000):
-                part = batch.slice(start, 1000)
-                texts = [words_of(t.as_py()) for t in part.column("text")]
-                base, n_known, rare = [], [], []
-                for tokens in texts:
-                    found = list(map(table_.get, tokens))
-                    other = [w for w, v in zip(tokens, found, strict=True) if v is None]
-                    base.append(sum(filter(None, found)) + end)
-                    n_known.append(len(tokens) - len(other) + (ends > 0))
-                    rare.append(other)
-                sums, size = np.zeros(len(texts)), [len(stream(t)) for t in texts]
-                missed, missed_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for data, owner in chunks(((i, stream(t)) for i, t in enumerate(texts)), depth):
-                    keys, of = grams(data, owner, depth)
-                    keys = keys.view(np.int64)
+            for start, length in slices(batch.column("text"), 2 * STEP):
+                part = batch.slice(start, length)
+                words, n_words, data, begin = prepared(part.column("text"), depth)
+                # Each different word and gram of some texts is looked up once.
+                coded = words.dictionary_encode()
+                logs = np.array([get(w, np.nan) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], float)[coded.indices.to_numpy()]
+                met = ~np.isnan(logs)
+                base = per_text(np.where(met, logs, 0.0), n_words) + end
+                n_known = per_text(met.astype(float), n_words).astype(np.int64) + (ends > 0)
+                sums, missed, missed_of = np.zeros(length), [np.empty(0, np.int64)], np.zeros(length, np.int64)
+                for keys, n in grams(data, begin, depth):
                     if not ends:
-                        sums -= 8 * np.log10(2) * np.bincount(of, minlength=len(texts))
+                        sums -= 8 * np.log10(2) * n
                         continue
-                    hit = np.zeros(len(keys), bool)
-                    if len(frequent_):
-                        at = np.minimum(np.searchsorted(frequent_, keys), len(frequent_) - 1)
-                        hit = frequent_[at] == keys
-                        sums += np.bincount(of[hit], value[at[hit]], len(texts))
-                    missed.append(keys[~hit])
-                    missed_of.append(of[~hit])
-                offsets = np.searchsorted(np.concatenate(missed_of), np.arange(len(texts) + 1)).astype(np.int32)
+                    each = pa.array(keys).dictionary_encode()
+                    different, code = each.dictionary.to_numpy(), each.indices.to_numpy()
+                    at = np.minimum(np.searchsorted(frequent_, different), max(len(frequent_) - 1, 0))
+                    hit = frequent_[at] == different if len(frequent_) else np.zeros(len(different), bool)
+                    sums += per_text((np.where(hit, value[at], 0.0) if len(frequent_) else np.zeros(len(different)))[code], n)
+                    missed.append(keys[~hit[code]])
+                    missed_of += per_text((~hit[code]).astype(float), n).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(missed_of)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(serial, serial + len(texts)), pa.int64()), part.column("doc_id"), pa.array([len(t) + 1 for t in texts], pa.int64()),
-                     pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.binary())),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(missed)))],
+                    [pa.array(range(serial, serial + length), pa.int64()), part.column("doc_id"), pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(sums),
+                     pa.array(np.diff(begin) - depth), as_lists(words, ~met, n_words), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(missed)))],
                     ["row", "doc_id", "n_tokens", "n_known", "base", "coded", "n_bytes", "rare", "missed"],
                 )
-                serial += len(texts)
+                serial += length
 
     schema = "row BIGINT, doc_id BIGINT, n_tokens BIGINT, n_known BIGINT, base DOUBLE, coded DOUBLE, n_bytes BIGINT, rare ARRAY<BINARY>, missed ARRAY<BIGINT>"
     told = stored(rows.mapInArrow(scored, schema), "scored")
