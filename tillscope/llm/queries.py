@@ -23,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
     "op13_lexical_search": lexical_search.OP13_SQL,
