@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tillscope.llm import (
     bit_packing, context_tree, decontaminate, encoding, exact_dedup, html_text, jaccard, line_dedup, packing, quality, queries, token_counts,
 )
@@ -171,6 +172,19 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean(docs, benchmark).count() == sum(not w[4] for w in want)
 
 
+def test_decontamination_shares_the_items_of_a_phrase(spark):
+    """A phrase that very many items hold is listed once, not once for each document."""
+    phrase = " ".join(f"p{k}" for k in range(12))
+    items = spark.range(20_000).selectExpr("id AS item_id", f"concat('own', id, ' {phrase}') AS text")
+    docs = spark.range(300).selectExpr("id AS doc_id", f"concat('before {phrase} after', id) AS text")
+    got = decontaminate.decontaminate(docs, items, digest=True)
+    want = hashlib.sha256(",".join(sorted(map(str, range(20_000)))).encode()).hexdigest()
+    assert {(r.n_hit, r.n_items, r.items_sha256) for r in got.collect()} == {(12, 20_000, want)}
+    _, found, held = decontaminate.overlaps(docs, items)
+    sets = found.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set("window_id")).alias("windows"))
+    assert found.count() == 300 * 3 and decontaminate.lists_of(held, sets).count() == 1
+
+
 def test_line_dedup(docs, none):
     got = [(r.doc_id, r.row.text, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs).collect()]
     want = []

@@ -56,15 +56,14 @@ def marks_of(words: Column, gram: int, winnow: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, span: int) -> DataFrame:
-    """(n, window, item_ids): each distinct window of n words, with the items that hold it.
+    """(n, window, item_id): each window of n words of each item, once.
 
     n is `span`, or the length of a shorter item. Items without words have none.
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     words = items.select("item_id", "words", F.least(F.size("words"), F.lit(span)).alias("n"))
     starts = words.select("item_id", "words", "n", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("start"))
-    windows = starts.select("item_id", "n", F.array_join(F.slice("words", F.col("start"), F.col("n")), " ").alias("window"))
-    return windows.groupBy("n", "window").agg(F.collect_set("item_id").alias("item_ids"))
+    return starts.select("n", F.array_join(F.slice("words", F.col("start"), F.col("n")), " ").alias("window"), "item_id").distinct()
 
 
 def hits_of(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataFrame:
@@ -91,14 +90,16 @@ def hits_of(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataFr
     return every.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc_id, sig, n_words), and each occurrence of an item window in them as
-    (doc_id, sig, start, n, item_ids), start counting words from 0.
+def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents as (doc_id, sig, n_words); each occurrence of an item window in them as
+    (doc_id, sig, start, n, window_id), start counting words from 0; and the items of each window as (window_id, item_id).
 
     Both read one stored table. Candidate spans hold their words, so that hits are verified exactly.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
-    windows = stored(item_windows(benchmark.select("item_id", "text"), span), "windows")
+    held = stored(item_windows(benchmark.select("item_id", "text"), span), "item-windows")
+    # Documents meet each window once, however many items hold it.
+    windows = stored(held.select("n", "window").distinct().withColumn("window_id", F.monotonically_increasing_id()), "windows")
     hits = stored(hits_of(docs, windows, span, gram).select(F.col("doc_id").alias("hit_id"), F.col("sig").alias("hit_sig"), "spans"), "hits")
     joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sig") == F.col("hit_sig")), "left")
     read = lambda words: F.struct(
@@ -112,19 +113,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     )
     texts = stored(joined.select("doc_id", "sig", let(words_of(F.col("text")), read).alias("r")).select("doc_id", "sig", "r.*"), "spans")
     spans = texts.select("doc_id", "sig", F.explode("spans").alias("s")).distinct().select("doc_id", "sig", "s.*")
-    return texts.select("doc_id", "sig", "n_words"), spans.join(windows, ["n", "window"])
+    found = spans.join(windows, ["n", "window"]).select("doc_id", "sig", "start", "n", "window_id")
+    return texts.select("doc_id", "sig", "n_words"), found, held.join(windows, ["n", "window"]).select("window_id", "item_id")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def lists_of(items: DataFrame, sets: DataFrame) -> DataFrame:
+    """(windows, item_ids): the items of each set of windows, sorted as strings. Documents with the same windows share a set."""
+    each = sets.select("windows").distinct().select("windows", F.explode("windows").alias("window_id"))
+    named = each.join(items.where("item_id IS NOT NULL"), "window_id").select("windows", F.col("item_id").cast("string").alias("item"))
+    return named.distinct().groupBy("windows").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """How far each document overlaps with benchmark items.
 
     An item's windows are its runs of `span` words, or the whole item where it is shorter. A document word
     inside an occurrence of a window is hit. Result, one row per row of `docs`: doc_id, n_words, n_hit,
-    item_ids (sorted as strings), contaminated. Null or wordless texts have no words and no hits; items
+    item_ids (sorted as strings), contaminated; with `digest`, n_items and items_sha256 (of the ids, joined by commas) in place
+    of item_ids, so that no list goes to a document. Null or wordless texts have no words and no hits; items
     without words match nothing; items without an id count for hits, not as items. Rows that repeat id and
     text get equal results. An empty benchmark hits nothing. Only doc_id, text, item_id are read.
     """
-    texts, found = overlaps(docs, benchmark, span, gram)
+    texts, found, items = overlaps(docs, benchmark, span, gram)
     found = stored(found, "found")
     by_start = Window.partitionBy("doc_id", "sig").orderBy("start", "n")
     reach = F.coalesce(F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -132,15 +142,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
         "doc_id", "sig", F.greatest(F.col("end") - F.greatest("start", reach), F.lit(0)).alias("new_words")
     )
     words = covered.groupBy("doc_id", "sig").agg(F.sum("new_words").alias("n_hit"))
-    items = (
-        found.select("doc_id", "sig", "item_ids").distinct()
-        .select("doc_id", "sig", F.explode(F.col("item_ids").cast("array<string>")).alias("item"))
-        .groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    )
-    per_text = _null_safe(words, items)
+    # A document's set of windows is no longer than the document.
+    sets = stored(found.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set("window_id")).alias("windows")), "window-sets")
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    told = {"item_ids": ids}
+    if digest:
+        told = {"n_items": F.size(ids).cast("bigint"), "items_sha256": F.sha2(F.array_join(ids, ",").cast("binary"), 256)}
+    lists = lists_of(items, sets)
+    lists = stored(lists.select("windows", *(v.alias(k) for k, v in told.items())), "item-lists")
+    per_text = _null_safe(words, sets.join(lists, "windows", "left").drop("windows"))
+    nothing = {"item_ids": F.array().cast("array<string>"), "n_items": F.lit(0).cast("bigint"), "items_sha256": F.sha2(F.lit("").cast("binary"), 256)}
     hits = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return _null_safe(texts, per_text).select(
-        "doc_id", "n_words", hits.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (hits > 0).alias("contaminated")
+        "doc_id", "n_words", hits.alias("n_hit"), *(F.coalesce(k, nothing[k]).alias(k) for k in told), (hits > 0).alias("contaminated")
     )
 
 
@@ -153,7 +167,7 @@ def _null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The rows of `docs`, all columns, that hold no window of a benchmark item."""
-    _, found = overlaps(docs, benchmark, span, gram)
+    _, found, _ = overlaps(docs, benchmark, span, gram)
     hit = stored(found.select(F.col("doc_id").alias("hit_id"), F.col("sig").alias("hit_sig")).distinct(), "contaminated")
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sig"), F.struct("*").alias("row"))
     on = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sig") == F.col("hit_sig"))
@@ -162,15 +176,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = G
 
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document against every benchmark item."""
-    result = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return result.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("item_ids").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
-        "contaminated",
-    )
+    return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), digest=True)
 
 
 OP4_SQL = r"""
