@@ -1,0 +1,104 @@
+"""Large dimensions meet the fact where it lies; hot keys lie apart; results are those of any other star."""
+
+import re
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.stars import customer, one, product, rows, sale, star
+from tests.test_scale import ROWS, final_plan, no_broadcast, plan, skewed  # noqa: F401
+from tillscope.filters import SalesFilter
+from tillscope.operators import customers, insights, kpis, olap, products, quality, trends
+from tillscope.sources.colocated import hot_keys, load_colocated, write_colocated
+
+YEAR = SalesFilter(date(1997, 1, 1), date(1997, 12, 31))
+QUERIES = [
+    lambda s: products.units_by_product(s),
+    lambda s: products.category_breakdown(s, YEAR),
+    lambda s: products.top_products_by_revenue(s, SalesFilter(category="c3")),
+    lambda s: customers.top_customers(s),
+    lambda s: customers.customer_summary(s),
+    lambda s: customers.top_customers_in_period(s, YEAR),
+    lambda s: customers.active_customer_rating(s, YEAR),
+    lambda s: kpis.total_kpis(s),
+    lambda s: kpis.period_kpis(s, YEAR),
+    lambda s: kpis.period_comparison(s, YEAR),
+    lambda s: trends.revenue_trend(s, YEAR),
+    lambda s: olap.pivot(s),
+    lambda s: olap.dice(s),
+    lambda s: insights.executive_insights(s, YEAR),
+    lambda s: quality.quality_report(s),
+]
+
+
+@pytest.fixture(scope="module")
+def both(spark, skewed, tmp_path_factory):  # noqa: F811
+    """A skewed star, and the same in 8 buckets with both copies of the fact."""
+    path = str(tmp_path_factory.mktemp("colocated") / "s")
+    write_colocated(skewed, path, 8, by_customer=True)
+    stored = load_colocated(spark, path)
+    yield skewed, stored
+    stored.forget()
+
+
+@pytest.mark.parametrize("query", QUERIES)
+def test_results_are_the_same(spark, both, query):
+    plain, stored = both
+    want = sorted(map(repr, rows(query(plain))))
+    assert want and sorted(map(repr, rows(query(stored)))) == want
+    with no_broadcast(spark):
+        assert sorted(map(repr, rows(query(stored)))) == want
+
+
+def below_join(text, column):
+    """The plans of the two sides of each sort-merge join on a column."""
+    return re.findall(rf"hashpartitioning\({column}#\d+L?, \d+\), (\w+)", text)
+
+
+def test_the_fact_is_not_moved_for_large_dimensions(spark, both):
+    plain, stored = both
+    with no_broadcast(spark):
+        moved = {name: below_join(plan(products.units_by_product(s)), "product_id") for name, s in (("plain", plain), ("stored", stored))}
+        # Of the stored star only hot keys, folded to a row each in every task, go to their bucket.
+        assert len(moved["plain"]) == 2 and len(moved["stored"]) == 1
+        moved = [below_join(plan(customers.top_customers(s)), "customer_id") for s in (plain, stored)]
+        assert list(map(len, moved)) == [2, 1]
+        text = plan(kpis.period_kpis(stored, YEAR))
+        assert text.count("SortMergeJoin [product_id") == 2 and "Bucketed: true" in text
+        # Single lines of hot products are joined one by one: they move, where adaptive execution can split them.
+        assert len(below_join(text, "product_id")) == 1
+        bucketed, hot = stored.parts("product_id")
+        assert "Exchange" not in plan(bucketed.join(stored.products, "product_id"))
+        assert "Exchange" not in plan(bucketed.groupBy("product_id").agg(F.sum("quantity")))
+
+
+def test_hot_keys_lie_apart(spark, both):
+    plain, stored = both
+    bucketed, hot = stored.parts("product_id")
+    assert {r.product_id for r in hot.select("product_id").distinct().collect()} == {1}
+    assert bucketed.where("product_id = 1").count() == 0 and bucketed.count() + hot.count() == ROWS
+    assert hot_keys(plain.sales, "product_id", 8).count() == 1
+    bucketed, hot = stored.parts("customer_id")
+    assert {r.customer_id for r in hot.select("customer_id").distinct().collect()} == {1}
+    assert stored.sales.count() == ROWS and len(stored.parts("sale_date")) == 1
+    sizes = [r["count"] for r in bucketed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < ROWS / 4
+
+
+def test_without_a_copy_by_customer_and_with_null_keys(spark, tmp_path):
+    lines = [sale(k, product_id=None, customer_id=None) for k in range(30)] + [sale(40), sale(41, product_id=7)]
+    s = star(spark, lines, [product(1)], [customer(1)])
+    write_colocated(s, str(tmp_path / "s"), 4)
+    stored = load_colocated(spark, str(tmp_path / "s"))
+    assert len(stored.parts("customer_id")) == 1 and stored.sales.count() == 32
+    with no_broadcast(spark):
+        assert one(kpis.period_kpis(stored, SalesFilter()))["orders"] == 1
+        assert rows(customers.customer_summary(stored)) == rows(customers.customer_summary(s))
+        assert rows(quality.quality_report(stored)) == rows(quality.quality_report(s))
+    stored.forget()
+    empty = star(spark)
+    write_colocated(empty, str(tmp_path / "e"), 4, by_customer=True)
+    stored = load_colocated(spark, str(tmp_path / "e"))
+    assert rows(kpis.total_kpis(stored)) == rows(kpis.total_kpis(empty)) and rows(products.units_by_product(stored)) == []
+    stored.forget()

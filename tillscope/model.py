@@ -79,6 +79,10 @@ class Star:
     def customers(self) -> DataFrame:
         return self.table("customers")
 
+    def parts(self, key: str) -> list[DataFrame]:
+        """The fact in one or more parts, no key in two of them, as it is best joined by `key`."""
+        return [self.sales]
+
     def replaced(self, **tables: Table) -> Star:
         """This star with other tables under the given names; those that stay are not opened."""
         return Star(**{**{name: partial(self.table, name) for name in self._tables}, **tables})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillscope.filters import SalesFilter
 from tillscope.functions.money import exact_mean, money_sum
 from tillscope.model import Star
-from tillscope.operators.facts import LINES, REVENUE, Kind, Measure, rollup, rows, sold_lines
+from tillscope.operators.facts import Kind, LINES, Measure, REVENUE, folded, rollup, rows, sold_lines, together
 
 SPENT = REVENUE.named("total_spent")
 ORDERS = LINES.named("orders")
@@ -67,7 +67,7 @@ def rating_distribution(star: Star) -> DataFrame:
 def top_customers(star: Star, n: int = 10) -> DataFrame:
     """Customer names by total spend; customers that share a name are one row."""
     totals = rollup(
-        star.sales, star.customers, "customer_id", [SPENT], dim_keys=["customer_name"]
+        star.parts("customer_id"), star.customers, "customer_id", [SPENT], dim_keys=["customer_name"]
     )
     return totals.orderBy(F.desc("total_spent"), F.asc_nulls_last("customer_name")).limit(n)
 
@@ -94,7 +94,7 @@ def customer_summary(star: Star) -> DataFrame:
     the join as one row.
     """
     measures = [ORDERS, SPENT, AMOUNTS]
-    per_customer = star.sales.groupBy("customer_id").agg(*[m.first_step() for m in measures])
+    per_customer = together(folded(star.parts("customer_id"), "customer_id", measures))
     per_name = (
         star.customers.select("customer_id", "customer_name")
         .join(per_customer, "customer_id", "left")

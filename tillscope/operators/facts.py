@@ -18,6 +18,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,26 +100,40 @@ def aggregate(
     )
 
 
+def together(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def folded(parts: Sequence[DataFrame], key: str, measures: Sequence[Measure], derived: Sequence[Column] = ()) -> list[DataFrame]:
+    """First steps of the measures by `key`, part by part: each key is in one part, and lines that lie by key stay there."""
+    return [part.groupBy(key, *derived).agg(*[m.first_step() for m in measures]) for part in parts]
+
+
 def rollup(
-    fact: DataFrame,
+    fact: DataFrame | Sequence[DataFrame],
     dim: DataFrame,
     key: str,
     measures: Sequence[Measure],
     fact_keys: Mapping[str, Column] | None = None,
     dim_keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Measures over fact INNER JOIN dim, grouped by fact expressions and dimension columns."""
+    """Measures over fact INNER JOIN dim, grouped by fact expressions and dimension columns.
+
+    A fact in parts (`Star.parts`) is joined part by part, so that lines and dimension rows that lie in the same buckets
+    meet where they are.
+    """
+    parts = [fact] if isinstance(fact, DataFrame) else list(fact)
     fact_keys = fact_keys or {}
     groups = [*fact_keys, *dim_keys]
     dim = dim.select(key, *dim_keys)
     derived = [expr.alias(name) for name, expr in fact_keys.items()]
     if fits_broadcast(dim):
         needed = [m.column for m in measures if m.column != key]
-        lines = fact.select(key, *dict.fromkeys(needed), *derived)
+        lines = together([part.select(key, *dict.fromkeys(needed), *derived) for part in parts])
         totals = lines.join(dim, key).groupBy(*groups).agg(*[m.first_step() for m in measures])
     else:
-        folded = fact.groupBy(key, *derived).agg(*[m.first_step() for m in measures])
-        totals = folded.join(dim, key).groupBy(*groups).agg(*[m.next_step() for m in measures])
+        met = [part.join(dim, key) for part in folded(parts, key, measures, derived)]
+        totals = together(met).groupBy(*groups).agg(*[m.next_step() for m in measures])
     return totals.select(*groups, *[m.result() for m in measures])
 
 
@@ -131,7 +146,7 @@ def by_product(
 ) -> DataFrame:
     """Measures over sales of known products under a filter."""
     return rollup(
-        flt.on_sales(star.sales),
+        [flt.on_sales(part) for part in star.parts("product_id")],
         flt.on_products(star.products),
         "product_id",
         measures,
@@ -143,7 +158,7 @@ def by_product(
 def sold_lines(star: Star, flt: SalesFilter, *columns: str) -> DataFrame:
     """Single sales lines of known products under a filter, for measures that cannot be pre-summed."""
     products = flt.on_products(star.products).select("product_id")
-    return flt.on_sales(star.sales).join(products, "product_id").select(*columns)
+    return together([flt.on_sales(part).join(products, "product_id").select(*columns) for part in star.parts("product_id")])
 
 
 def grand_total(df: DataFrame, *columns: str) -> Column:

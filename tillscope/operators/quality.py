@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.model import CONTRACTS, PRIMARY_KEYS, SALE_YEAR, Star
-from tillscope.operators.facts import fits_broadcast, rows
+from tillscope.operators.facts import fits_broadcast, rows, together
 
 
 class QualityError(ValueError):
@@ -73,11 +73,12 @@ def duplicate_keys(star: Star, table: str) -> DataFrame:
 def orphan_customers(star: Star) -> DataFrame:
     """One row: sales lines whose customer is unknown (or null)."""
     known = star.customers.select("customer_id")
+    parts = star.parts("customer_id")
     if fits_broadcast(known):
-        lines = star.sales.select("customer_id", F.lit(1).alias("n"))
+        lines = [part.select("customer_id", F.lit(1).alias("n")) for part in parts]
     else:
-        lines = star.sales.groupBy("customer_id").agg(rows().alias("n"))
-    missing = lines.join(known, "customer_id", "left_anti")
+        lines = [part.groupBy("customer_id").agg(rows().alias("n")) for part in parts]
+    missing = together([part.join(known, "customer_id", "left_anti") for part in lines])
     return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unknown_customer"))
 
 
@@ -89,8 +90,8 @@ def product_mismatches(star: Star) -> DataFrame:
     shuffle of the fact, and adaptive execution can split a hot product on the fact's side.
     """
     prices = star.products.select("product_id", "price", F.lit(True).alias("known"))
-    lines = star.sales.select("product_id", "quantity", "total_amount")
-    return lines.join(prices, "product_id", "left").agg(
+    lines = [part.select("product_id", "quantity", "total_amount") for part in star.parts("product_id")]
+    return together([part.join(prices, "product_id", "left") for part in lines]).agg(
         F.count_if(F.col("known").isNull()).alias("unknown_product"),
         F.count_if(F.col("total_amount") != F.col("quantity") * F.col("price")).alias(
             "amount_not_quantity_x_price"

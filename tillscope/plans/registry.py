@@ -27,6 +27,7 @@ from tillscope.operators import (
     trends,
     views,
 )
+from tillscope.sources.colocated import colocated
 from tillscope.sources.order_tables import load_order_tables
 from tillscope.sources.refresh import gated_write
 
@@ -151,6 +152,8 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "row_counts": quality.row_counts,
     "quality_report": quality.quality_report,
     "gated_write": gated_write,
+    "colocated_product_performance": lambda s: products.product_performance(colocated(s)),
+    "colocated_customer_summary": lambda s: customers.customer_summary(colocated(s)),
     # report views and exports
     "category_view": lambda s: views.category_view(s, YEAR_1997),
     "top_products_view": lambda s: views.top_products_view(s, YEAR_1997),
