@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tests.stars import customer, product, sale, star
+from tests.stars import customer, one, product, sale, star
 from tests.test_quality import EXPECTED, bad  # noqa: F401
 from tests.test_scale import final_plan, no_broadcast
 from tillscope.model import Star
@@ -34,11 +34,12 @@ def test_a_written_star_has_the_same_report(spark, bad, threshold):  # noqa: F81
 def test_the_write_counts_rows_and_rules(spark, bad, tmp_path):  # noqa: F811
     counted = write_star(bad, str(tmp_path / "s"))
     assert {t: c["row_count"] for t, c in counted.items()} == {"sales": 8, "products": 3, "customers": 4}
-    row_wise = {(t, name): n for t, c in counted.items() for name, n in c.items() if name != "row_count" and n}
+    assert {t: (c["key_min"], c["key_max"]) for t, c in counted.items()} == {"sales": (1, 6), "products": (1, 2), "customers": (1, 3)}
+    row_wise = {(t, name): n for t, c in counted.items() for name, n in c.items() if name not in ("row_count", "key_min", "key_max") and n}
     references = {"duplicate_key", "unknown_customer", "unknown_product", "amount_not_quantity_x_price"}
     assert row_wise == {k: v for k, v in EXPECTED.items() if k[1] not in references}
     empty = write_star(star(spark), str(tmp_path / "e"))
-    assert {n for c in empty.values() for n in c.values()} == {0}
+    assert {n for c in empty.values() for n in c.values()} == {0, None} and not any(map(quality.are_dense, empty.values()))
 
 
 def test_the_gate_reads_keys_and_references_only(spark, tmp_path):
@@ -84,3 +85,39 @@ def test_working_folder_is_shared(spark):
     with pytest.raises(ValueError, match="all executors share"):
         working_folder(Elsewhere, "x")
     assert working_folder(spark, "x") != working_folder(spark, "x")
+
+
+@pytest.mark.parametrize(
+    "keys",
+    [
+        "id",
+        "id % 40000",
+        "id - 50000",
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id END",
+        "CASE WHEN id = 99999 THEN 3 WHEN id % 1000 = 0 THEN NULL ELSE id END",
+        "id * 65",
+        "CASE WHEN id < 4 THEN 9223372036854775807 ELSE -id END",
+    ],
+)
+def test_bitmaps_count_the_keys_that_repeat(spark, keys):
+    sales = spark.range(100_000).selectExpr(f"CAST({keys} AS BIGINT) AS sale_id").repartition(6)
+    want = one(quality.duplicate_keys(Star(sales, None, None), "sales"))["duplicate_key"]
+    assert quality.count_duplicates(sales, "sale_id") == want
+
+
+def test_bitmaps_send_stretches_and_not_keys(spark):
+    """A task sends a row for each stretch of keys that it has met."""
+    keys = spark.range(0, 1_000_000, 1, 4).selectExpr("id AS sale_id")
+    assert quality.suspect_stretches(keys, "sale_id").count() == 0
+    twice = keys.union(spark.createDataFrame([(700_000,), (700_000,)], "sale_id BIGINT"))
+    assert [r.stretch for r in quality.suspect_stretches(twice, "sale_id").collect()] == [22]
+    text = final_plan(quality.suspect_stretches(twice, "sale_id"))
+    exchange, below = text.index("Exchange hashpartitioning("), text.index("partial_bitmap_construct_agg")
+    assert exchange < below and text.count("Exchange") == 1  # bitmaps are made before anything moves
+    assert quality.count_duplicates(twice, "sale_id") == 1
+
+
+def test_dense_keys():
+    assert quality.are_dense({"key_min": 1, "key_max": 6400, "row_count": 100})
+    assert not quality.are_dense({"key_min": 0, "key_max": 6400, "row_count": 100})
+    assert not quality.are_dense({"key_min": None, "key_max": None, "row_count": 3})
