@@ -11,6 +11,7 @@ import numpy as np
 import plain_tree
 import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -141,6 +142,51 @@ def test_quality_learns_from_text_alone(spark, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_quality_equals_plain_python(spark):
+    """Hashing, updates and averaging over shards, with repeated rows and a long text, one number at a time."""
+    texts = [(i, f"{'good plain words' if i % 3 else 'BUY!! NOW!! now now'} number {i % 11} of many" if i % 17 else None) for i in range(60)]
+    texts += [(4, "good plain words number 4 again"), (7, texts[7][1]), (100, LONG + " " + "x" * 50_000)]
+    docs = stored(spark.createDataFrame(texts, "doc_id BIGINT, text STRING"), "plain")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(100, 1)], "doc_id BIGINT, quality INT")
+    shards = -(-labels.where(~quality.in_fold(F.col("doc_id"), 3, 1)).count() // 20)
+    assert shards > 1
+    order = docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("o"), F.xxhash64("text").alias("t")).collect()
+    top = 1 << 64
+
+    def features(text):
+        h = [xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+        pairs = [2 if a == b else ((a ^ a >> 29) * 0x9E3779B97F4A7C15 + b) % top for a, b in zip(h, h[1:])]
+        counts = Counter((g * 0x9E3779B97F4A7C15 % top) >> (64 - quality.BITS) for g in h + pairs)
+        norm = max(1e-9, math.sqrt(sum(counts.values())))
+        return {**{k: math.sqrt(n) / norm for k, n in counts.items()}, quality.BIAS: 1.0}
+
+    def weight(z, n):
+        return 0.0 if abs(z) <= 0.02 else (math.copysign(0.02, z) - z) / ((1.0 + math.sqrt(n)) / 0.5 + 0.1)
+
+    sums = Counter()
+    for shard in range(shards):
+        z, n = defaultdict(float), defaultdict(float)
+        rows_ = [r for r in order if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.o % shards == shard]
+        for _ in range(3):
+            for r in sorted(rows_, key=lambda r: (r.o, r.t)):
+                x = features(r.text)
+                w = {k: weight(z[k], n[k]) for k in x}
+                p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+                for k, v in x.items():
+                    g = (p - (1 if r.doc_id % 3 or r.doc_id == 100 else 0)) * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / 0.5 * w[k]
+                    n[k] += g * g
+        sums.update({k: weight(z[k], n[k]) for k in z})
+    want = sorted((i, 1 / (1 + math.exp(-sum(sums[k] / shards * v for k, v in features(t).items())))) for i, t in texts)
+    got = sorted((r.doc_id, r.score) for r in quality.classify(docs, labels, per_shard=20).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+
+
+def test_word_hashes_keep_no_long_words():
+    found = quality.Hashes()
+    assert found["a" * 41] == xxhash.xxh64_intdigest("a" * 41) and found["b"] and {*found} == {"b"}
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}

@@ -25,14 +25,16 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hashes(dict):
-    """Hash of each word met; forgets all beyond a bound."""
+    """Hash of each word met; forgets all beyond a bound, and keeps no long word, such as a text without blanks."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 40:
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -100,7 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, per_shard: int
     """Weights learnt from whole texts of at most `most` labelled rows; all zero where there are none.
 
     `most` is the bound of the training sample, `per_shard` that of a shard. Labels are taken only from
-    documents whose crc32(doc_id as text) mod `folds` is not `held`.
+    documents whose crc32(doc_id as text) mod `folds` is not `held`. Rows that repeat a labelled id are learnt each. Each text is
+    sent once for each pass, so that a task holds one text at a time, however long.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -123,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, per_shard: int
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["at", "w"])
 
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "pass", "order", F.xxhash64("text"))
+    # A task for each shard; hashes of so few numbers would leave some tasks with two.
+    dealt = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "pass", "order", F.xxhash64("text"))
     sums = dealt.mapInArrow(learn, "at BIGINT, w DOUBLE").groupBy("at").agg(F.sum("w").alias("w")).toArrow()  # at most BIAS + 1 rows
     weights = np.zeros(BIAS + 1)
     weights[sums.column("at").to_numpy()] = sums.column("w").to_numpy() / shards
@@ -159,7 +163,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     """doc_id, held_out, score, predicted of each row of `docs`, learnt from its labelled rows.
 
     Null texts count as empty. Rows that repeat an id are scored each; for a null id held_out is false.
-    Without labels every score is 0.5. No documents give no rows. Only doc_id, text and quality are read.
+    Without labels every score is 0.5. No documents give no rows. Only doc_id, text and quality are read. Rows that
+    repeat id and text get equal scores; very long texts are read whole.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = score(rows, train(docs, labels, folds=folds, held=held, **training))
