@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -11,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.sources.scratch import working_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The six characters of the class [\x20\x09-\x0D].
@@ -18,15 +19,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder path in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where that setting is absent (tests, a laptop), a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tillscope-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder path in the shared folder that the cluster names in spark.checkpoint.dir; see `working_folder`."""
+    return working_folder(spark, label)
 
 
 def stored(frame: DataFrame, label: str, *partitions: str) -> DataFrame:
