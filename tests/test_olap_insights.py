@@ -161,3 +161,23 @@ def test_rating_texts(spark):
         ("⭐ 4.2", "4.25 / 5.0"),
         ("⭐ 0.0", "N/A"),
     ]
+
+
+def test_calendar_rollup_has_all_levels(spark):
+    days = ["2023-12-31", "2024-01-01", "2024-01-31", "2024-07-04", None]
+    s = star(spark, [sale(k, day, amount=f"{k}.00") for k, day in enumerate(days, start=1)])
+    assert rows(olap.calendar_rollup(s)) == [
+        ("total", "all", 15.0, 5),
+        ("year", "2023", 1.0, 1),
+        ("year", "2024", 9.0, 3),
+        ("year", "unknown", 5.0, 1),
+        ("quarter", "2023 Q4", 1.0, 1),
+        ("quarter", "2024 Q1", 5.0, 2),
+        ("quarter", "2024 Q3", 4.0, 1),
+        ("quarter", "unknown", 5.0, 1),
+        ("month", "2023-12", 1.0, 1),
+        ("month", "2024-01", 5.0, 2),
+        ("month", "2024-07", 4.0, 1),
+        ("month", "unknown", 5.0, 1),
+    ]
+    assert rows(olap.calendar_rollup(star(spark))) == []

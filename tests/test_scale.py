@@ -117,6 +117,7 @@ def test_plans_stay_native_and_free_of_cross_joins(spark, name):
         ("olap_insights", 2),
         ("total_kpis", 1),
         ("olap_pivot", 1),
+        ("olap_calendar_rollup", 1),
         ("quality_report", 2),
     ],
 )

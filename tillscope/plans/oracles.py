@@ -472,6 +472,16 @@ BODIES: dict[str, str] = {
     "olap_drilldown": f"""
     SELECT {MONTH_NAME} AS month, {MONTH_NO} AS month_no, {REVENUE} AS revenue
     FROM sales GROUP BY ALL ORDER BY month_no""",
+    "olap_calendar_rollup": f"""
+    SELECT level, period, revenue, order_count FROM (
+        SELECT 1 AS place, 'total' AS level, 'all' AS period, {REVENUE} AS revenue, COUNT(*) AS order_count FROM sales
+        UNION ALL
+        SELECT 2, 'year', CAST(year(sale_date) AS VARCHAR), {REVENUE}, COUNT(*) FROM sales GROUP BY ALL
+        UNION ALL
+        SELECT 3, 'quarter', year(sale_date) || ' Q' || quarter(sale_date), {REVENUE}, COUNT(*) FROM sales GROUP BY ALL
+        UNION ALL
+        SELECT 4, 'month', strftime(sale_date, '%Y-%m'), {REVENUE}, COUNT(*) FROM sales GROUP BY ALL
+    ) ORDER BY place, period""",
     "olap_slice_all": _by_revenue("category"),
     "olap_slice_category": _by_revenue("product_name", source="fact WHERE category = 'SMALL'"),
     "olap_dice": _dice(f"category = 'SMALL' AND {MONTH_NAME} = 'March'"),

@@ -131,6 +131,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # OLAP
     "olap_rollup": olap.rollup_years,
     "olap_drilldown": olap.drilldown_months,
+    "olap_calendar_rollup": olap.calendar_rollup,
     "olap_slice_all": olap.slice_all,
     "olap_slice_category": lambda s: olap.slice_category(s, CATEGORY),
     "olap_dice": lambda s: olap.dice(s, CATEGORY, MONTH),
