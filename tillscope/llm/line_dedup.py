@@ -100,7 +100,8 @@ class LineRuns:
         """A new table of `run`; `dealt`: it comes out of joins of tables that are bucketed like it."""
         path = f"{self.location}/{kind}/{uuid.uuid4().hex}"
         self._read(path)
-        (run if dealt else run.repartition(self.buckets, *HASH)).write.insertInto(self.tables[path])
+        # A task and a file for each bucket.
+        (run if dealt else run.repartitionById(self.buckets, F.pmod(F.hash(*HASH), F.lit(self.buckets)))).write.insertInto(self.tables[path])
         self.spark.catalog.refreshTable(self.tables[path])
         return path
 
