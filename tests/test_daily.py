@@ -1,0 +1,163 @@
+"""Stored sums stand in for the fact: same results, no line read, years replaced as a whole."""
+
+from datetime import date
+
+import pytest
+
+from tests.stars import customer, product, rows, sale, star
+from tests.test_scale import no_broadcast, plan, skewed  # noqa: F401
+from tillscope.filters import SalesFilter
+from tillscope.operators import customers, insights, kpis, olap, products, quality, trends, views
+from tillscope.sources.daily import DailyStar, load_daily, replace_years, stale_years, with_daily, write_daily
+from tillscope.sources.refresh import write_star
+from tillscope.sources.stars import load_star
+
+YEAR = SalesFilter(date(1997, 1, 1), date(1997, 12, 31))
+SHORT = SalesFilter(date(1997, 3, 1), date(1997, 3, 20), "c3")
+ADDED_UP = {
+    "totals": kpis.total_kpis,
+    "mean": kpis.average_sale,
+    "bounds": kpis.filter_bounds,
+    "years": kpis.sale_years,
+    "months": kpis.sale_months,
+    "ranges": kpis.year_ranges,
+    "by_year": trends.revenue_by_year,
+    "by_quarter": trends.revenue_by_quarter,
+    "by_month": trends.revenue_by_month,
+    "by_year_quarter": trends.revenue_by_year_quarter,
+    "trend": lambda s: trends.revenue_trend(s, YEAR),
+    "short_trend": lambda s: trends.revenue_trend(s, SHORT),
+    "summary": trends.period_summary,
+    "share": lambda s: trends.period_share(s, "quarter"),
+    "coverage": trends.date_coverage,
+    "activity": trends.monthly_activity,
+    "categories": products.category_revenue,
+    "breakdown": lambda s: products.category_breakdown(s, YEAR),
+    "category_coverage": products.category_coverage,
+    "performance": products.product_performance,
+    "units": lambda s: products.units_by_product(s).orderBy("product_name"),
+    "top": lambda s: products.top_products_by_revenue(s, YEAR),
+    "calendar": olap.calendar_rollup,
+    "slice": lambda s: olap.slice_category(s, "c3").orderBy("product_name"),
+    "dice": lambda s: olap.dice(s, "c3", "March"),
+    "dice_all": olap.dice,
+    "pivot": olap.pivot,
+}
+OF_LINES = {
+    "period": lambda s: kpis.period_kpis(s, YEAR),
+    "comparison": lambda s: kpis.period_comparison(s, YEAR),
+    "customers": lambda s: customers.top_customers(s),
+    "active": lambda s: customers.active_customer_rating(s, YEAR),
+    "insights": lambda s: insights.executive_insights(s, YEAR),
+    "quality": quality.quality_report,
+    "report": views.sales_report,
+}
+
+
+def same(a, b):
+    """Equal rows in the same order, and equal types."""
+    assert [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in b.schema]
+    assert rows(a) == rows(b)
+
+
+@pytest.fixture(scope="module")
+def stored(skewed):  # noqa: F811
+    return with_daily(skewed)
+
+
+@pytest.mark.parametrize("name", [*ADDED_UP, *OF_LINES])
+def test_results_are_the_same(spark, skewed, stored, name):  # noqa: F811
+    query = (ADDED_UP | OF_LINES)[name]
+    same(query(stored), query(skewed))
+
+
+@pytest.mark.parametrize("name", ["trend", "breakdown", "dice", "pivot"])
+def test_results_are_the_same_with_large_dimensions(spark, skewed, stored, name):  # noqa: F811
+    with no_broadcast(spark):
+        same(ADDED_UP[name](stored), ADDED_UP[name](skewed))
+
+
+class WithoutLines(DailyStar):
+    @property
+    def sales(self):
+        raise AssertionError("the fact was opened")
+
+    def parts(self, key):
+        return [self.sales]
+
+
+@pytest.mark.parametrize("name", ADDED_UP)
+def test_the_fact_is_not_opened(stored, name):
+    ADDED_UP[name](WithoutLines(stored.star, stored.daily)).collect()
+
+
+def test_a_period_reads_its_year_and_the_columns_that_it_sums(stored):
+    text = plan(trends.revenue_trend(stored, YEAR))
+    assert "sale_year#" in text.split("PartitionFilters: [")[1].split("]")[0]
+    read = text.split("ReadSchema: struct<")[1].split(">")[0]
+    assert "daily_revenue" in read and "daily_lines" in read
+    assert "daily_units" not in read and "daily_rows" not in read
+
+
+ODD = [
+    sale(1, "2023-05-01"), sale(1, "2023-05-01", amount="3.50"), sale(2, "2023-05-01", product_id=2, quantity=None),
+    sale(3, "2024-02-29", amount=None), sale(None, "2024-02-29"), sale(5, None), sale(6, None, product_id=None, amount=None),
+    sale(7, "2025-01-01", product_id=99), sale(8, "2022-12-31", amount=None), sale(8, "2022-12-31", amount=None),
+]
+DIMENSIONS = [product(1), product(2, "Pad", "Paper"), product(3, "Pad", None)], [customer(1)]
+
+
+def with_sums(spark, folder, lines):
+    s = star(spark, lines, *DIMENSIONS)
+    write_daily(s, str(folder))
+    return s, load_daily(spark, s, str(folder))
+
+
+@pytest.mark.parametrize("lines", [ODD, []], ids=["odd", "none"])
+def test_nulls_repeats_unknown_products_and_no_rows(spark, tmp_path, lines):
+    s, stored = with_sums(spark, tmp_path / "d", lines)
+    for query in (ADDED_UP | OF_LINES).values():
+        same(query(stored), query(s))
+    assert rows(stale_years(stored)) == []
+
+
+def test_years_are_replaced_and_removed(spark, tmp_path):
+    path = str(tmp_path / "d")
+    _, before = with_sums(spark, path, ODD)
+    changed = [r for r in ODD if r[1] is not None and r[1].year != 2025]
+    changed += [sale(20, "2024-03-01", amount="8.00"), sale(21, "2026-01-01")]
+    s = star(spark, changed, *DIMENSIONS)
+    assert rows(stale_years(DailyStar(s, before.daily))) == [(2024, 3, 2), (2025, 0, 1), (2026, 1, 0), (None, 0, 2)]
+    replace_years(s, path, [])
+    replace_years(s, path, [2024, 2025, 2026, None, 1990])
+    stored = load_daily(spark, s, path)
+    assert rows(stale_years(stored)) == []
+    for query in ADDED_UP.values():
+        same(query(stored), query(s))
+    kept = {p.name for p in (tmp_path / "d").glob("sale_year=*")}
+    assert kept == {f"sale_year={y}" for y in (2022, 2023, 2024, 2026)}
+    replace_years(s, path, [2024])  # once more changes nothing
+    same(trends.revenue_by_year(load_daily(spark, s, path)), trends.revenue_by_year(s))
+
+
+def test_only_replaced_years_of_a_stored_fact_are_read(spark, tmp_path):
+    s, path = star(spark, [r for r in ODD if r[0]], *DIMENSIONS), str(tmp_path / "d")
+    write_star(s, str(tmp_path / "s"))
+    held = load_star(spark, str(tmp_path / "s"))
+    assert "sale_year" in held.sales.columns
+    write_daily(held, path)
+    stored = load_daily(spark, held, path)
+    for query in ADDED_UP.values():
+        same(query(stored), query(s))
+    text = plan(stale_years(stored))
+    assert "ReadSchema: struct<>" in text
+    for gone in (tmp_path / "s" / "sales").glob("sale_year=2023/*.parquet"):
+        gone.write_bytes(b"")  # would fail if it were read
+    replace_years(held, path, [2022, 2024])
+    same(trends.revenue_by_year(load_daily(spark, held, path)), trends.revenue_by_year(s))
+
+
+def test_another_fact_gives_up_the_sums_and_other_dimensions_keep_them(stored):
+    assert isinstance(stored.replaced(products=stored.products), DailyStar)
+    other = stored.replaced(sales=stored.sales.limit(0))
+    assert not isinstance(other, DailyStar) and kpis.total_kpis(other).first().total_orders == 0

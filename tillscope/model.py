@@ -83,6 +83,15 @@ class Star:
         """The fact in one or more parts, no key in two of them, as it is best joined by `key`."""
         return [self.sales]
 
+    @property
+    def summed(self) -> DataFrame:
+        """The fact, or sums of it by day and product where they are stored, for measures that add up and for dates."""
+        return self.sales
+
+    def summed_parts(self, key: str) -> list[DataFrame]:
+        """As `parts`, for measures that add up."""
+        return self.parts(key)
+
     def replaced(self, **tables: Table) -> Star:
         """This star with other tables under the given names; those that stay are not opened."""
         return Star(**{**{name: partial(self.table, name) for name in self._tables}, **tables})

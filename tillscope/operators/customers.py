@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from tillscope.filters import SalesFilter
 from tillscope.functions.money import exact_mean, money_sum
 from tillscope.model import Star
-from tillscope.operators.facts import Kind, LINES, Measure, REVENUE, folded, rollup, rows, sold_lines, together
+from tillscope.operators.facts import AMOUNTS, LINES, REVENUE, folded, rollup, rows, sold_lines, together
 
 SPENT = REVENUE.named("total_spent")
 ORDERS = LINES.named("orders")
-AMOUNTS = Measure("amounts", "total_amount", Kind.COUNT)
 
 
 def customer_kpis(star: Star) -> DataFrame:

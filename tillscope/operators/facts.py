@@ -23,27 +23,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.filters import SalesFilter
+from tillscope.filters import SalesFilter, conjunction
 from tillscope.functions.money import money_or_zero, money_sum
-from tillscope.model import Star
+from tillscope.model import MONEY_SUM, Star
 
 
 class Kind(Enum):
     MONEY = "money"
     UNITS = "units"
     COUNT = "count"
+    ROWS = "rows"
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A sum or count over a fact column that may be computed in two steps."""
+    """A sum or count over a fact column that may be computed in two steps.
+
+    `stored` is the column that holds the first step in a table of stored sums (`sources.daily`).
+    """
 
     name: str
     column: str
     kind: Kind
+    stored: str
+
+    def source(self, fact: DataFrame) -> str:
+        """The column of a fact, or of stored sums of it, that the measure reads."""
+        return self.stored if self.stored in fact.columns else self.column
 
-    def first_step(self) -> Column:
-        aggregates = {Kind.MONEY: money_sum, Kind.UNITS: F.sum, Kind.COUNT: F.count}
+    def first_step(self, fact: DataFrame) -> Column:
+        if self.stored in fact.columns:
+            total = F.sum(self.stored)
+            return (total.cast(MONEY_SUM) if self.kind is Kind.MONEY else total).alias(self.name)
+        aggregates = {Kind.MONEY: money_sum, Kind.UNITS: F.sum, Kind.COUNT: F.count, Kind.ROWS: lambda _: rows()}
         return aggregates[self.kind](F.col(self.column)).alias(self.name)
 
     def next_step(self) -> Column:
@@ -59,9 +71,12 @@ class Measure:
         return replace(self, name=name)
 
 
-REVENUE = Measure("revenue", "total_amount", Kind.MONEY)
-UNITS = Measure("units_sold", "quantity", Kind.UNITS)
-LINES = Measure("order_count", "sale_id", Kind.COUNT)
+REVENUE = Measure("revenue", "total_amount", Kind.MONEY, "daily_revenue")
+UNITS = Measure("units_sold", "quantity", Kind.UNITS, "daily_units")
+LINES = Measure("order_count", "sale_id", Kind.COUNT, "daily_lines")
+AMOUNTS = Measure("amounts", "total_amount", Kind.COUNT, "daily_amounts")
+ROWS = Measure("row_count", "sale_id", Kind.ROWS, "daily_rows")
+ADDITIVE = (REVENUE, UNITS, LINES, AMOUNTS, ROWS)
 
 
 def rows() -> Column:
@@ -93,9 +108,9 @@ def fits_broadcast(df: DataFrame) -> bool:
 def aggregate(
     df: DataFrame, measures: Sequence[Measure], keys: Mapping[str, Column]
 ) -> DataFrame:
-    """Measures of the fact alone, grouped by named expressions."""
+    """Measures of the fact alone, or of stored sums of it, grouped by named expressions."""
     grouped = df.groupBy(*[expr.alias(name) for name, expr in keys.items()])
-    return grouped.agg(*[m.first_step() for m in measures]).select(
+    return grouped.agg(*[m.first_step(df) for m in measures]).select(
         *keys, *[m.result() for m in measures]
     )
 
@@ -106,7 +121,7 @@ def together(parts: Sequence[DataFrame]) -> DataFrame:
 
 def folded(parts: Sequence[DataFrame], key: str, measures: Sequence[Measure], derived: Sequence[Column] = ()) -> list[DataFrame]:
     """First steps of the measures by `key`, part by part: each key is in one part, and lines that lie by key stay there."""
-    return [part.groupBy(key, *derived).agg(*[m.first_step() for m in measures]) for part in parts]
+    return [part.groupBy(key, *derived).agg(*[m.first_step(part) for m in measures]) for part in parts]
 
 
 def rollup(
@@ -128,9 +143,9 @@ def rollup(
     dim = dim.select(key, *dim_keys)
     derived = [expr.alias(name) for name, expr in fact_keys.items()]
     if fits_broadcast(dim):
-        needed = [m.column for m in measures if m.column != key]
-        lines = together([part.select(key, *dict.fromkeys(needed), *derived) for part in parts])
-        totals = lines.join(dim, key).groupBy(*groups).agg(*[m.first_step() for m in measures])
+        needed = dict.fromkeys(m.source(parts[0]) for m in measures if m.source(parts[0]) != key)
+        lines = together([part.select(key, *needed, *derived) for part in parts])
+        totals = lines.join(dim, key).groupBy(*groups).agg(*[m.first_step(lines) for m in measures])
     else:
         met = [part.join(dim, key) for part in folded(parts, key, measures, derived)]
         totals = together(met).groupBy(*groups).agg(*[m.next_step() for m in measures])
@@ -143,10 +158,11 @@ def by_product(
     flt: SalesFilter = SalesFilter(),
     fact_keys: Mapping[str, Column] | None = None,
     product_keys: Sequence[str] = (),
+    dated: Sequence[Column] = (),
 ) -> DataFrame:
-    """Measures over sales of known products under a filter."""
+    """Measures over sales of known products under a filter and further predicates on the date."""
     return rollup(
-        [flt.on_sales(part) for part in star.parts("product_id")],
+        [flt.on_sales(part).where(conjunction(dated)) for part in star.summed_parts("product_id")],
         flt.on_products(star.products),
         "product_id",
         measures,

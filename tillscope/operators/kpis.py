@@ -19,14 +19,12 @@ from tillscope.functions.money import (
     per_unit,
 )
 from tillscope.model import SALE_YEAR, Star
-from tillscope.operators.facts import rows, sold_lines
+from tillscope.operators.facts import AMOUNTS, REVENUE, ROWS, aggregate, rows, sold_lines
 
 
 def total_kpis(star: Star) -> DataFrame:
     """One row: revenue and number of sales, products and customers, all unfiltered."""
-    facts = star.sales.agg(
-        money_or_zero(money_sum(F.col("total_amount"))).alias("total_revenue"), rows().alias("total_orders")
-    )
+    facts = aggregate(star.summed, [REVENUE.named("total_revenue"), ROWS.named("total_orders")], {})
     return facts.select(
         "total_revenue",
         "total_orders",
@@ -108,10 +106,10 @@ def filter_bounds(star: Star) -> DataFrame:
 
     Of sales stored by year only the partitions of the first and the last year are read.
     """
-    sales = star.sales
+    sales = star.summed
     if SALE_YEAR in sales.columns:
         year = F.col(SALE_YEAR)
-        first, last = (star.sales.agg(end(SALE_YEAR)).scalar() for end in (F.min, F.max))
+        first, last = (star.summed.agg(end(SALE_YEAR)).scalar() for end in (F.min, F.max))
         sales = sales.where((year == first) | (year == last))
     return sales.agg(
         F.coalesce(F.min("sale_date"), F.current_date()).alias("min_date"),
@@ -121,11 +119,11 @@ def filter_bounds(star: Star) -> DataFrame:
 
 def _sale_year(star: Star) -> Column:
     """The year of a sale; of sales stored by year it takes no column of the files."""
-    return F.col(SALE_YEAR).cast("int") if SALE_YEAR in star.sales.columns else F.year("sale_date")
+    return F.col(SALE_YEAR).cast("int") if SALE_YEAR in star.summed.columns else F.year("sale_date")
 
 
 def sale_years(star: Star) -> DataFrame:
-    return star.sales.select(_sale_year(star).alias("yr")).distinct().orderBy(F.desc_nulls_first("yr"))
+    return star.summed.select(_sale_year(star).alias("yr")).distinct().orderBy(F.desc_nulls_first("yr"))
 
 
 def categories(star: Star) -> DataFrame:
@@ -134,7 +132,7 @@ def categories(star: Star) -> DataFrame:
 
 def sale_months(star: Star) -> DataFrame:
     """Month numbers and names that occur in the sales of any year."""
-    numbers = star.sales.select(F.month("sale_date").alias("month_no")).distinct()
+    numbers = star.summed.select(F.month("sale_date").alias("month_no")).distinct()
     return numbers.select(month_name(F.col("month_no")).alias("month"), "month_no").orderBy("month_no")
 
 
@@ -145,9 +143,9 @@ def year_ranges(star: Star) -> DataFrame:
     year's own extreme date. Outer query and subquery so need the same per-year extremes, and Spark
     computes them once. Of sales stored by year, the years and bounds come from the partitions.
     """
-    if SALE_YEAR in star.sales.columns:
+    if SALE_YEAR in star.summed.columns:
         bounds = filter_bounds(star).select(F.struct("min_date", "max_date").alias("bounds")).scalar()
-        years = star.sales.select(_sale_year(star).alias("yr")).where("yr IS NOT NULL").distinct()
+        years = star.summed.select(_sale_year(star).alias("yr")).where("yr IS NOT NULL").distinct()
         return (
             years.withColumn("bounds", bounds)
             .select(
@@ -157,7 +155,7 @@ def year_ranges(star: Star) -> DataFrame:
             )
             .orderBy(F.desc("yr"))
         )
-    dated = star.sales.where(F.col("sale_date").isNotNull())
+    dated = star.summed.where(F.col("sale_date").isNotNull())
     per_year = dated.groupBy(F.year("sale_date").alias("yr")).agg(
         F.min("sale_date").alias("first"), F.max("sale_date").alias("last")
     )
@@ -192,6 +190,5 @@ def filter_for_year(star: Star, year: int | str | None = None, category: str = A
 
 def average_sale(star: Star) -> DataFrame:
     """One row: mean amount per sales line, two places."""
-    return star.sales.agg(
-        exact_mean(money_sum(F.col("total_amount")), F.count("total_amount")).alias("avg_order")
-    )
+    totals = aggregate(star.summed, [REVENUE, AMOUNTS], {})
+    return totals.select(exact_mean(F.col("revenue"), F.col("amounts")).alias("avg_order"))

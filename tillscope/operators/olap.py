@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.filters import ALL, SalesFilter, conjunction, month_predicate
+from tillscope.filters import ALL, SalesFilter, month_predicate
 from tillscope.functions.calendar import MONTHS, month_name, quarter_label
 from tillscope.model import Star
 from tillscope.operators.facts import LINES, REVENUE, by_product
@@ -28,7 +28,8 @@ def calendar_rollup(star: Star) -> DataFrame:
     """
     measures = [REVENUE, LINES]
     keys = {**by_year(), **by_quarter(), **by_month()}
-    months = star.sales.groupBy(*[expr.alias(name) for name, expr in keys.items()]).agg(*[m.first_step() for m in measures])
+    fact = star.summed
+    months = fact.groupBy(*[expr.alias(name) for name, expr in keys.items()]).agg(*[m.first_step(fact) for m in measures])
     levels = months.rollup(*keys).agg(F.grouping_id().alias("depth"), *[m.next_step() for m in measures])
     year, depth = F.col("yr").cast("string"), F.col("depth")
     period = (
@@ -58,14 +59,7 @@ def slice_category(star: Star, category: str) -> DataFrame:
 
 def dice(star: Star, category: str = ALL, month: str = ALL) -> DataFrame:
     """Revenue per category and calendar month, under any combination of the two filters."""
-    sales = star.sales.where(conjunction(month_predicate(month)))
-    totals = by_product(
-        star.replaced(sales=sales),
-        [REVENUE],
-        SalesFilter(category=category),
-        by_month(),
-        ["category"],
-    )
+    totals = by_product(star, [REVENUE], SalesFilter(category=category), by_month(), ["category"], month_predicate(month))
     return totals.orderBy("month_no", F.asc_nulls_last("category")).select(
         "category", month_name(F.col("month_no")).alias("month"), "revenue"
     )

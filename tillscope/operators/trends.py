@@ -13,9 +13,9 @@ from tillscope.functions.calendar import (
     month_year_label,
     quarter_label,
 )
-from tillscope.functions.money import money_or_zero, money_sum, per_unit, share_pct
+from tillscope.functions.money import money_or_zero, per_unit, share_pct
 from tillscope.model import Star
-from tillscope.operators.facts import LINES, REVENUE, aggregate, by_product, grand_total, rows
+from tillscope.operators.facts import LINES, REVENUE, ROWS, aggregate, by_product, grand_total, rows
 
 # Ranges longer than this many days are shown by month.
 DAILY_LIMIT = 70
@@ -34,12 +34,12 @@ def by_month() -> dict[str, Column]:
 
 
 def revenue_by_year(star: Star) -> DataFrame:
-    return aggregate(star.sales, [REVENUE], by_year()).orderBy(F.asc_nulls_last("yr"))
+    return aggregate(star.summed, [REVENUE], by_year()).orderBy(F.asc_nulls_last("yr"))
 
 
 def revenue_by_quarter(star: Star) -> DataFrame:
     """Quarter numbers 1..4; the same quarter of different years is one row."""
-    totals = aggregate(star.sales, [REVENUE], by_quarter())
+    totals = aggregate(star.summed, [REVENUE], by_quarter())
     return totals.select(
         "quarter_no", quarter_label(F.col("quarter_no")).alias("period"), "revenue"
     ).orderBy(F.asc_nulls_last("quarter_no"))
@@ -47,14 +47,14 @@ def revenue_by_quarter(star: Star) -> DataFrame:
 
 def revenue_by_month(star: Star) -> DataFrame:
     """Month numbers 1..12; the same month of different years is one row."""
-    totals = aggregate(star.sales, [REVENUE], by_month())
+    totals = aggregate(star.summed, [REVENUE], by_month())
     return totals.select(
         month_name(F.col("month_no")).alias("month"), "month_no", "revenue"
     ).orderBy(F.asc_nulls_last("month_no"))
 
 
 def revenue_by_year_quarter(star: Star) -> DataFrame:
-    totals = aggregate(star.sales, [REVENUE], {**by_year(), **by_quarter()})
+    totals = aggregate(star.summed, [REVENUE], {**by_year(), **by_quarter()})
     return totals.select(
         "yr", quarter_label(F.col("quarter_no")).alias("quarter"), "revenue"
     ).orderBy(F.asc_nulls_last("yr"), F.asc_nulls_last("quarter"))
@@ -74,13 +74,13 @@ def revenue_trend(star: Star, flt: SalesFilter) -> DataFrame:
 def _periods(star: Star, level: str) -> DataFrame:
     """Columns period_no, period, revenue for one of the levels year, quarter, month."""
     if level == "year":
-        totals = aggregate(star.sales, [REVENUE], by_year()).withColumnRenamed("yr", "period_no")
+        totals = aggregate(star.summed, [REVENUE], by_year()).withColumnRenamed("yr", "period_no")
         period = F.col("period_no").cast("string")
     elif level == "quarter":
-        totals = aggregate(star.sales, [REVENUE], by_quarter()).withColumnRenamed("quarter_no", "period_no")
+        totals = aggregate(star.summed, [REVENUE], by_quarter()).withColumnRenamed("quarter_no", "period_no")
         period = quarter_label(F.col("period_no"))
     elif level == "month":
-        totals = aggregate(star.sales, [REVENUE], by_month()).withColumnRenamed("month_no", "period_no")
+        totals = aggregate(star.summed, [REVENUE], by_month()).withColumnRenamed("month_no", "period_no")
         period = month_name(F.col("period_no"))
     else:
         raise ValueError(f"unknown period level {level!r}")
@@ -118,7 +118,7 @@ def period_share(star: Star, level: str = "month") -> DataFrame:
 
 def date_coverage(star: Star) -> DataFrame:
     """One row: first date, last date and how many different calendar months have sales."""
-    per_month = star.sales.groupBy(F.month("sale_date").alias("month_no")).agg(
+    per_month = star.summed.groupBy(F.month("sale_date").alias("month_no")).agg(
         F.min("sale_date").alias("first"), F.max("sale_date").alias("last")
     )
     return per_month.agg(
@@ -130,8 +130,9 @@ def date_coverage(star: Star) -> DataFrame:
 
 def monthly_activity(star: Star) -> DataFrame:
     """Sales lines and revenue per calendar month."""
-    per_month = star.sales.groupBy(F.month("sale_date").alias("month_no")).agg(
-        rows().alias("tx_count"), money_sum(F.col("total_amount")).alias("revenue")
+    fact = star.summed
+    per_month = fact.groupBy(F.month("sale_date").alias("month_no")).agg(
+        ROWS.named("tx_count").first_step(fact), REVENUE.first_step(fact)
     )
     return per_month.select(
         "month_no", month_name(F.col("month_no")).alias("month_name"), "tx_count", "revenue"

@@ -553,5 +553,8 @@ BODIES: dict[str, str] = {
 
 # The same results from a star that is stored for its joins.
 BODIES |= {f"colocated_{name}": BODIES[name] for name in ("product_performance", "customer_summary")}
+# And from stored sums by day and product.
+DAILY = ("total_kpis", "trend_monthly_category", "category_breakdown", "olap_calendar_rollup", "olap_dice")
+BODIES |= {f"daily_{name}": BODIES[name] for name in DAILY}
 
 ORACLES = {name: STAR + body for name, body in BODIES.items()}

@@ -28,6 +28,7 @@ from tillscope.operators import (
     views,
 )
 from tillscope.sources.colocated import colocated
+from tillscope.sources.daily import with_daily
 from tillscope.sources.order_tables import load_order_tables
 from tillscope.sources.refresh import gated_write
 
@@ -155,6 +156,11 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "gated_write": gated_write,
     "colocated_product_performance": lambda s: products.product_performance(colocated(s)),
     "colocated_customer_summary": lambda s: customers.customer_summary(colocated(s)),
+    "daily_total_kpis": lambda s: kpis.total_kpis(with_daily(s)),
+    "daily_trend_monthly_category": lambda s: trends.revenue_trend(with_daily(s), YEAR_1997_CATEGORY),
+    "daily_category_breakdown": lambda s: products.category_breakdown(with_daily(s), YEAR_1997),
+    "daily_olap_calendar_rollup": lambda s: olap.calendar_rollup(with_daily(s)),
+    "daily_olap_dice": lambda s: olap.dice(with_daily(s), CATEGORY, MONTH),
     # report views and exports
     "category_view": lambda s: views.category_view(s, YEAR_1997),
     "top_products_view": lambda s: views.top_products_view(s, YEAR_1997),
